@@ -1,9 +1,11 @@
 """The queries of this subpackage, by name, and their SQL."""
 
-from veilspan.llm import mixing, sharding, sql
+from veilspan.llm import mixing, packing, sharding, sql, token_counts
 
 QUERIES = {
+    "op5_token_counts": token_counts.op5_token_counts,
     "op6_sharding": sharding.op6_sharding,
+    "op7_packing": packing.op7_packing,
     "op8_mixing": mixing.op8_mixing,
 }
 
