@@ -1,8 +1,9 @@
 """The queries of this subpackage, by name, and their SQL."""
 
-from veilspan.llm import mixing, packing, sharding, sql, token_counts
+from veilspan.llm import mixing, packing, sharding, simhash, sql, token_counts
 
 QUERIES = {
+    "op3_simhash": simhash.op3_simhash,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_sharding": sharding.op6_sharding,
     "op7_packing": packing.op7_packing,
