@@ -145,7 +145,7 @@ def _cut(name: str, capacity: int):
         def pieces(docs: list, texts: list[str]) -> pa.RecordBatch:
             rows = []
             for doc, ids in zip(docs, v.ids(texts), strict=True):
-                data = ids.tobytes() + END.to_bytes(4, "little")
+                data = ids + END.to_bytes(4, "little")
                 for k, start in enumerate(range(0, len(data) // 4, capacity)):
                     part = data[4 * start : 4 * (start + capacity)]
                     rows.append((doc, k, start, n := len(part) // 4, zlib.crc32(part), chunk, numbers[n]))

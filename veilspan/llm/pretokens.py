@@ -8,7 +8,9 @@ go through the library's own normalizer and pre-tokenizer.
 
 from __future__ import annotations
 
+import gc
 import json
+import os
 import re
 from itertools import chain
 
@@ -19,11 +21,14 @@ from veilspan.llm.common import worker_memo
 #: A tokenizer file of public_tokenizers.
 VOCABULARY = "word_bpe_49k.json"
 #: Pre-token texts whose pieces a worker remembers at most.
-MEMO = 200_000
+MEMO = 500_000
+#: Pre-tokens that are encoded as one text, to be parted at the ends of words.
+JOINED = 64
 
 #: The pre-tokenizer's expression, for characters below U+0250, where [^\W\d_] and
 #: the superscripts, fractions and ordinals have to be told apart by hand.
 _QUICK = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
+_CONTROL = re.compile("[\x1c-\x1f]").search
 _LATIN = re.compile("[\x00-\x1b\x20-ɏ]*").fullmatch
 
 
@@ -31,6 +36,8 @@ class Vocabulary:
     """The tokenizer of a file, with what is needed to split and count."""
 
     def __init__(self, path: str):
+        # tasks are the parallelism; threads of the library's own would only contend
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -39,13 +46,16 @@ class Vocabulary:
             spec = json.load(f)
         self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
-        self._bytes = None
+        pieces = self.tokenizer.get_vocab(with_added_tokens=False)
+        suffix = spec["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(max(pieces.values()) + 1, bool)
+        self.ends[[i for piece, i in pieces.items() if piece.endswith(suffix)]] = True
         self.memo: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         """The pre-tokens of text in order; a special token's string is one."""
-        if _LATIN(text):
-            if self._special is None or "<|" not in text:
+        if text.isascii() and not _CONTROL(text) or _LATIN(text):
+            if self._special is None or not self._special.search(text):
                 return _QUICK.findall(text.lower())
         out: list[str] = []
         for k, part in enumerate(self._special.split(text) if self._special else [text]):
@@ -56,23 +66,47 @@ class Vocabulary:
                 out += [clean[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(clean)]
         return out
 
-    def pieces(self, words: list[str]) -> list[list[int]]:
-        """The ids of each pre-token."""
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [x.ids for x in found]
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
+    def pieces(self, words: list[str]) -> list[bytes]:
+        """The ids of each pre-token, as little-endian unsigned 32-bit numbers.
+
+        Pre-tokens are encoded many at a time, between spaces, and parted where
+        pieces end a word; where that doesn't give as many parts, one by one.
+        """
+        out: list[bytes] = []
+        plain = [w for w in words if w not in self.specials]
+        groups = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1 if not len(ids) or ids.max() < len(self.ends) else ()
+            if len(cuts) != len(group) or cuts[-1] != len(ids):
+                out += [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+                continue
+            data, at = ids.tobytes(), 0
+            for cut in (cuts * 4).tolist():
+                out.append(data[at:cut])
+                at = cut
+        if len(plain) == len(words):
+            return out
+        rest = iter(out)
+        return [int(self.specials[w]).to_bytes(4, "little") if w in self.specials else next(rest) for w in words]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
-        split = [self.split(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in memo]
-        for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
-            for w, ids in zip(part, self.pieces(part), strict=True):
-                memo[w] = np.array(ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(memo.__getitem__, s)), "<u4") for s in split]
+        was = gc.isenabled()
+        gc.disable()  # nothing here makes cycles, and the lists are long
+        try:
+            split = [self.split(t) for t in texts]
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+            memo = self.memo
+            new = list(set(chain.from_iterable(split)).difference(memo))
+            for k in range(0, len(new), 50_000):
+                part = new[k : k + 50_000]
+                memo.update(zip(part, self.pieces(part), strict=True))
+            return [b"".join(map(memo.__getitem__, s)) for s in split]
+        finally:
+            if was:
+                gc.enable()
 
 
 def vocabulary(name: str = VOCABULARY) -> Vocabulary:
