@@ -41,7 +41,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a written table in the shared folder. This cuts the lineage: a lost
     executor costs a read of the table, not the work that made it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

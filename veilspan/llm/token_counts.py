@@ -1,13 +1,13 @@
 """Token counts without token ids.
 
-1. Documents are read in chunks of bounded size. A chunk gives, for each of its
-   distinct pre-tokens, one row with the documents that hold it and how often.
-   So the commonest pre-token has as many rows as there are chunks, not as many
-   as there are documents.
-2. The pieces of each distinct pre-token of the whole table are counted once.
-3. The counts are joined to the rows of step 1 (an ordinary equi-join, so Spark
-   may split what is skewed), and piece counts times frequencies are summed to
-   (chunk, document), first within the task, then per chunk.
+1. Documents are read in chunks of bounded size. A chunk keeps which of its
+   documents hold each of its distinct pre-tokens, and how often: the table of
+   per-document frequencies. Beside it goes one row for each distinct pre-token.
+2. Those rows are dealt out by pre-token and sorted, so equal ones are adjacent;
+   the pieces of each distinct pre-token are counted once, and the count goes back
+   to every chunk that has it. A pre-token has a row a chunk at most, so the
+   commonest is no hot key.
+3. The counts are joined to the chunks' frequencies, multiplied and summed.
 
 Rows are told apart by chunk and place, so repeated ids are no matter.
 """
@@ -26,144 +26,126 @@ from veilspan.llm.common import read, stored
 from veilspan.llm.pretokens import VOCABULARY, vocabulary
 
 LIMIT = 2048
+#: Rows of counts that a task holds at most before it sends them on.
+HELD = 1_000_000
 #: A chunk ends at so many characters or rows; places in a chunk take 16 bits.
 CHUNK_CHARS = 12_000_000
 CHUNK_ROWS = 60_000
-#: A task's sums leave it when it holds so many.
-HELD = 2_000_000
+_PARTS = "word string, chunk long, place int, body binary, meta binary"
+_SCHEMA = pa.schema([("word", pa.string()), ("chunk", pa.int64()), ("place", pa.int32()), ("body", pa.binary()), ("meta", pa.binary())])
 
-_POSTINGS = "word string, chunk long, body binary, extra binary"
-_ROWS = pa.schema([("word", pa.string()), ("chunk", pa.int64()), ("body", pa.binary()), ("extra", pa.binary())])
 
+def _chunk(number: int, ids: list, texts: list[str], name: str) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct pre-token, and one without word for the chunk.
 
-def _binary(data: bytes, ends: np.ndarray) -> pa.Array:
-    offsets = np.concatenate([[0], ends]).astype("<i4")
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
-
-
-def _chunk(number: int, ids: list, texts: list[str], name: str) -> pa.RecordBatch:
-    """One row a distinct pre-token: (place, frequency) pairs of 16-bit numbers, a
-    larger frequency in several; and a row without word: ids and sizes in bytes."""
+    Frequencies are 16-bit numbers; a larger one is several entries.
+    """
     split = vocabulary(name).split
-    numbers: dict[str, int] = {}
-    keys = []
-    for place, text in enumerate(texts):
-        found = np.fromiter((numbers.setdefault(w, len(numbers)) for w in split(text)), np.int64)
-        if len(found):
-            keys.append(found << 16 | place)
-    at, times = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    seen: dict[str, int] = {}
+    keys = [np.zeros(0, np.int64)]
+    for row, text in enumerate(texts):
+        found = np.array([seen.setdefault(w, len(seen)) for w in split(text)], np.int64)
+        keys.append(found << 16 | row)
+    words = sorted(seen)
+    place = np.empty(len(words), np.int64)
+    place[[seen[w] for w in words]] = np.arange(len(words))
+    keys = np.concatenate(keys)
+    at, times = np.unique(place[keys >> 16] << 16 | keys & 65535 if len(keys) else keys, return_counts=True)
     parts = -(-times // 65535)
-    at, times = np.repeat(at, parts), np.repeat(times, parts)
-    first = np.concatenate([[True], at[1:] != at[:-1]]) if len(at) else np.zeros(0, bool)
-    runs = np.diff(np.append(np.flatnonzero(first), len(at)))
-    pos = np.arange(len(at)) - np.repeat(np.flatnonzero(first), runs)
-    pairs = np.empty((len(at), 2), "<u2")
-    pairs[:, 0] = at & 65535
-    pairs[:, 1] = np.minimum(times - pos * 65535, 65535)
-    ends = np.searchsorted(at >> 16, np.arange(len(numbers)), side="right") * 4
+    first = np.cumsum(parts) - parts
+    nth = np.arange(parts.sum()) - np.repeat(first, parts)
+    often = np.minimum(np.repeat(times, parts) - nth * 65535, 65535)
+    at = np.repeat(at, parts)
+    body = b"".join(x.tobytes() for x in (np.bincount(at >> 16, minlength=len(words)).astype("<u4"), (at & 65535).astype("<u2"), often.astype("<u2")))
     known = np.array([x is not None for x in ids])
-    meta = np.array([0 if x is None else x for x in ids], "<i8").tobytes() + known.tobytes()
-    sizes = np.array([len(t.encode()) for t in texts], "<i8").tobytes()
-    body = pa.concat_arrays([_binary(pairs.tobytes(), ends), pa.array([meta], pa.binary())])
-    extra = pa.concat_arrays([pa.nulls(len(numbers), pa.binary()), pa.array([sizes], pa.binary())])
-    return pa.RecordBatch.from_arrays([pa.array([*numbers, None], pa.string()), pa.array(np.full(len(numbers) + 1, number)), body, extra], schema=_ROWS)
+    sizes = np.array([len(t.encode()) for t in texts], "<i8")
+    meta = np.array([x or 0 for x in ids], "<i8").tobytes() + sizes.tobytes() + known.tobytes()
+    for k in range(0, len(words), 20_000):
+        n = len(part := words[k : k + 20_000])
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(n, number)), pa.array(np.arange(k, k + n, dtype=np.int32)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=_SCHEMA)
+    head = len(words).to_bytes(4, "little")
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([number]), pa.nulls(1, pa.int32()), pa.array([head + body], pa.binary()), pa.array([meta], pa.binary())], schema=_SCHEMA)
 
 
-def _postings(name: str):
+def _chunks(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, texts, chars = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 t = text.as_py() or ""
                 if texts and (chars + len(t) > CHUNK_CHARS or len(texts) >= CHUNK_ROWS):
-                    yield from _sliced(_chunk(number, ids, texts, name))
+                    yield from _chunk(number, ids, texts, name)
                     number, ids, texts, chars = number + 1, [], [], 0
                 ids.append(doc)
                 texts.append(t)
                 chars += len(t)
         if texts:
-            yield from _sliced(_chunk(number, ids, texts, name))
+            yield from _chunk(number, ids, texts, name)
 
     return run
 
 
-def _sliced(batch: pa.RecordBatch, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    for k in range(0, batch.num_rows, rows):
-        yield batch.slice(k, rows)
-
-
 def _count(name: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(name)
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            n = [len(p) // 4 for p in v.pieces(words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["word", "pieces"])
-
-    return run
-
-
-def _summed(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, where = np.unique(at, return_inverse=True)
-    return keys, np.bincount(where, n, len(keys)).astype(np.int64)
+    """(word, chunk, place) sorted by word to (chunk, packed places and counts)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, last, last_n = vocabulary(name), None, 0
+        chunk, place, count, held = [], [], [], 0
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, body, pieces) to (chunk, packed places, packed sums)."""
-    chunks: dict[int, int] = {}
-    at, n, held = [], [], 0
+        def leave() -> pa.RecordBatch:
+            c, p, n = map(np.concatenate, (chunk, place, count))
+            order = np.argsort(c, kind="stable")
+            c, p, n = c[order], p[order].astype("<u4"), n[order].astype("<u4")
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])), len(c))
+            bodies = [p[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c[cuts[:-1]]), pa.array(bodies, pa.binary())], ["chunk", "body"])
 
-    def leave(keys: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
-        names = list(chunks)
-        cuts = np.searchsorted(keys >> 16, np.arange(len(names) + 1))
-        rows = [(names[k], (keys[a:b] & 65535).astype("<u2").tobytes(), sums[a:b].astype("<u4").tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["chunk", "body", "extra"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs = batch.column(0).dictionary_encode()
+            words = runs.dictionary.to_pylist()
+            new = words[1:] if words[0] == last else words
+            sizes = [len(p) // 4 for p in v.pieces(new)]
+            sizes = [last_n, *sizes] if len(new) < len(words) else sizes
+            last, last_n = words[-1], sizes[-1]  # the next batch may go on with this word
+            chunk.append(batch.column(1).to_numpy())
+            place.append(batch.column(2).to_numpy())
+            count.append(np.array(sizes)[runs.indices.to_numpy()])
+            held += batch.num_rows
+            if held > HELD:
+                yield leave()
+                chunk, place, count, held = [], [], [], 0
+        if held:
+            yield leave()
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        bodies = batch.column(1).to_pylist()
-        pairs = np.frombuffer(b"".join(bodies), "<u2").reshape(-1, 2)
-        length = np.array([len(b) // 4 for b in bodies])
-        slot = np.array([chunks.setdefault(c, len(chunks)) for c in batch.column(0).to_pylist()], np.int64)
-        a, s = _summed(np.repeat(slot, length) << 16 | pairs[:, 0], pairs[:, 1] * np.repeat(batch.column(2).to_numpy().astype(np.float64), length))
-        at.append(a)
-        n.append(s)
-        held += len(a)
-        if held > HELD:
-            a, s = _summed(np.concatenate(at), np.concatenate(n))
-            at, n, held = [a], [s], len(a)
-            if held > HELD // 2:
-                yield from leave(a, s)
-                chunks, at, n, held = {}, [], [], 0
-    if at:
-        yield from leave(*_summed(np.concatenate(at), np.concatenate(n)))
+    return run
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, body, extra, meta) sorted by chunk to (doc_id, n_bytes, n_tokens)."""
-    now, meta, sums = None, None, np.zeros(65536, np.int64)
-
-    def leave() -> Iterator[pa.RecordBatch]:
-        sizes = np.frombuffer(meta[1], "<i8")
-        ids = np.frombuffer(meta[0][: 8 * len(sizes)], "<i8")
-        known = np.frombuffer(meta[0][8 * len(sizes) :], bool)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), pa.array(sizes), pa.array(sums[: len(sizes)].copy())], ["doc_id", "n_bytes", "n_tokens"])
+    """(chunk, body, meta) sorted by chunk, the frequencies first, to documents."""
+    now = pieces = freq = meta = None
+
+    def leave() -> pa.RecordBatch:
+        runs = np.frombuffer(freq, "<u4", len(pieces), 4)
+        rest = np.frombuffer(freq, "<u2", -1, 4 + 4 * len(pieces))
+        row, often = rest[: len(rest) // 2], rest[len(rest) // 2 :]
+        n = len(meta) // 17
+        ids, sizes, known = np.frombuffer(meta, "<i8", n), np.frombuffer(meta, "<i8", n, 8 * n), np.frombuffer(meta, bool, n, 16 * n)
+        tokens = np.bincount(row, np.repeat(pieces, runs) * often, n).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), pa.array(sizes), pa.array(tokens)], ["doc_id", "n_bytes", "n_tokens"])
 
     for batch in batches:
-        for chunk, body, extra, is_meta in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            if chunk != now:
-                if meta:
-                    yield from leave()
-                now, meta = chunk, None
-                sums[:] = 0
-            if is_meta:
-                meta = (body, extra)
-            else:
-                np.add.at(sums, np.frombuffer(body, "<u2"), np.frombuffer(extra, "<u4").astype(np.int64))
-    if meta:
-        yield from leave()
+        for chunk, body, about in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if about is not None:
+                if meta is not None:
+                    yield leave()
+                now, freq, meta, pieces = chunk, body, about, np.zeros(int.from_bytes(body[:4], "little"))
+            elif chunk == now:
+                half = len(body) // 2
+                pieces[np.frombuffer(body[:half], "<u4")] = np.frombuffer(body[half:], "<u4")
+    if meta is not None:
+        yield leave()
 
 
 def count_tokens(docs: DataFrame, text: str = "text", key: str = "doc_id", name: str = VOCABULARY) -> DataFrame:
@@ -172,12 +154,11 @@ def count_tokens(docs: DataFrame, text: str = "text", key: str = "doc_id", name:
     A null text is empty: no bytes, no tokens. A null id stays null; repeated rows
     each give a row; an empty table gives none. Other columns are not read.
     """
-    rows = stored(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_postings(name), _POSTINGS), "postings")
-    words = rows.where("word is not null")
-    counts = words.select("word").distinct().mapInArrow(_count(name), "word string, pieces long")
-    sums = words.select("word", "chunk", "body").join(counts, "word").select("chunk", "body", "pieces").mapInArrow(_sums, "chunk long, body binary, extra binary")
-    both = sums.select("chunk", "body", "extra", F.lit(False).alias("is_meta")).unionByName(rows.where("word is null").select("chunk", "body", "extra", F.lit(True).alias("is_meta")))
-    together = both.repartition("chunk").sortWithinPartitions("chunk")
+    rows = stored(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_chunks(name), _PARTS), "frequencies")
+    words = rows.where("word is not null").select("word", "chunk", "place").repartition("word").sortWithinPartitions("word")
+    counts = words.mapInArrow(_count(name), "chunk long, body binary")
+    both = counts.withColumn("meta", F.lit(None).cast("binary")).unionByName(rows.where("word is null").select("chunk", "body", "meta"))
+    together = both.repartition("chunk").sortWithinPartitions("chunk", F.col("meta").isNull())
     return together.mapInArrow(_documents, "doc_id long, n_bytes long, n_tokens long")
 
 
