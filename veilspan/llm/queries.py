@@ -1,8 +1,9 @@
 """The queries of this subpackage, by name, and their SQL."""
 
-from veilspan.llm import mixing, packing, sharding, simhash, sql, token_counts, toxicity
+from veilspan.llm import language, mixing, packing, sharding, simhash, sql, token_counts, toxicity
 
 QUERIES = {
+    "op9_language": language.op9_language,
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_simhash": simhash.op3_simhash,
     "op5_token_counts": token_counts.op5_token_counts,
