@@ -47,11 +47,25 @@ class Vocabulary:
         self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
         pieces = self.tokenizer.get_vocab(with_added_tokens=False)
-        suffix = spec["model"]["end_of_word_suffix"]
+        self.suffix = suffix = spec["model"]["end_of_word_suffix"]
         self.ends = np.zeros(max(pieces.values()) + 1, bool)
         self.ends[[i for piece, i in pieces.items() if piece.endswith(suffix)]] = True
+        self._whole: frozenset[str] | None = None
         self.memo: dict[str, bytes] = {}
 
+    @property
+    def whole(self) -> frozenset[str]:
+        """The pre-tokens that are one piece; at most as many as the file has pieces."""
+        if self._whole is None:
+            from tokenizers import decoders
+
+            surface = decoders.ByteLevel()
+            ends = [p for p, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if self.ends[i]]
+            words = [w for w in (surface.decode([p[: -len(self.suffix)]]) for p in ends) if "\ufffd" not in w]
+            words = [w for w in words if self.split(w) == [w]]
+            self._whole = frozenset(w for w, ids in zip(words, self.pieces(words), strict=True) if len(ids) == 4)
+        return self._whole
+
     def split(self, text: str) -> list[str]:
         """The pre-tokens of text in order; a special token's string is one."""
         if text.isascii() and not _CONTROL(text) or _LATIN(text):

@@ -3,6 +3,8 @@
 1. Documents are read in chunks of bounded size. A chunk keeps which of its
    documents hold each of its distinct pre-tokens, and how often: the table of
    per-document frequencies. Beside it goes one row for each distinct pre-token.
+   Pre-tokens that the vocabulary has as one piece are a table of bounded size
+   that each worker makes once; their frequencies are summed on the spot.
 2. Those rows are dealt out by pre-token and sorted, so equal ones are adjacent;
    the pieces of each distinct pre-token are counted once, and the count goes back
    to every chunk that has it. A pre-token has a row a chunk at most, so the
@@ -40,11 +42,15 @@ def _chunk(number: int, ids: list, texts: list[str], name: str) -> Iterator[pa.R
 
     Frequencies are 16-bit numbers; a larger one is several entries.
     """
-    split = vocabulary(name).split
+    v = vocabulary(name)
+    split, whole, single = v.split, v.whole, []
     seen: dict[str, int] = {}
     keys = [np.zeros(0, np.int64)]
     for row, text in enumerate(texts):
-        found = np.array([seen.setdefault(w, len(seen)) for w in split(text)], np.int64)
+        found = split(text)
+        single.append(len(found))
+        found = np.array([seen.setdefault(w, len(seen)) for w in found if w not in whole], np.int64)
+        single[-1] -= len(found)
         keys.append(found << 16 | row)
     words = sorted(seen)
     place = np.empty(len(words), np.int64)
@@ -59,7 +65,7 @@ def _chunk(number: int, ids: list, texts: list[str], name: str) -> Iterator[pa.R
     body = b"".join(x.tobytes() for x in (np.bincount(at >> 16, minlength=len(words)).astype("<u4"), (at & 65535).astype("<u2"), often.astype("<u2")))
     known = np.array([x is not None for x in ids])
     sizes = np.array([len(t.encode()) for t in texts], "<i8")
-    meta = np.array([x or 0 for x in ids], "<i8").tobytes() + sizes.tobytes() + known.tobytes()
+    meta = b"".join(x.tobytes() for x in (np.array([x or 0 for x in ids], "<i8"), sizes, np.array(single, "<i8"), known))
     for k in range(0, len(words), 20_000):
         n = len(part := words[k : k + 20_000])
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(n, number)), pa.array(np.arange(k, k + n, dtype=np.int32)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=_SCHEMA)
@@ -130,9 +136,10 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = np.frombuffer(freq, "<u4", len(pieces), 4)
         rest = np.frombuffer(freq, "<u2", -1, 4 + 4 * len(pieces))
         row, often = rest[: len(rest) // 2], rest[len(rest) // 2 :]
-        n = len(meta) // 17
-        ids, sizes, known = np.frombuffer(meta, "<i8", n), np.frombuffer(meta, "<i8", n, 8 * n), np.frombuffer(meta, bool, n, 16 * n)
-        tokens = np.bincount(row, np.repeat(pieces, runs) * often, n).astype(np.int64)
+        n = len(meta) // 25
+        ids, sizes, single = np.frombuffer(meta, "<i8", 3 * n).reshape(3, n)
+        known = np.frombuffer(meta, bool, n, 24 * n)
+        tokens = np.bincount(row, np.repeat(pieces, runs) * often, n).astype(np.int64) + single
         return pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), pa.array(sizes), pa.array(tokens)], ["doc_id", "n_bytes", "n_tokens"])
 
     for batch in batches:
