@@ -1,8 +1,9 @@
 """The queries of this subpackage, by name, and their SQL."""
 
-from veilspan.llm import extraction, language, mixing, packing, sharding, simhash, sql, token_counts, toxicity
+from veilspan.llm import embedding_dedup, extraction, language, mixing, packing, sharding, simhash, sql, token_counts, toxicity
 
 QUERIES = {
+    "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op10_extraction": extraction.op10_extraction,
     "op9_language": language.op9_language,
     "op1_toxicity": toxicity.op1_toxicity,
