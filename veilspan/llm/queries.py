@@ -1,8 +1,9 @@
 """The queries of this subpackage, by name, and their SQL."""
 
-from veilspan.llm import embedding_dedup, extraction, language, mixing, packing, sharding, simhash, sql, token_counts, toxicity
+from veilspan.llm import embedding_dedup, extraction, language, mixing, packing, search, sharding, simhash, sql, token_counts, toxicity
 
 QUERIES = {
+    "op2_search": search.op2_search,
     "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op10_extraction": extraction.op10_extraction,
     "op9_language": language.op9_language,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_search": sql.OP2,
     "op6_sharding": sql.OP6,
     "op8_mixing": sql.OP8,
 }
