@@ -75,18 +75,19 @@ def _lcm(values: Sequence[int]) -> int:
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST_COPIES, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, size) to (doc_id, source, size, source_size, target, copies).
+    """(doc_id, source, size, ...) to the same with source_size, target and copies.
 
     Rows with the same id in a source share their random number and are told
     apart by size; wholly equal rows are interchangeable. Null ids count as the
     empty id, null sources are a source of their own, an empty table gives an
-    empty table. Documents without words get the certain copies alone.
+    empty table. Other columns are carried along; put those whose names could clash
+    into one struct. Documents without words get the certain copies alone.
     Sums over a source are taken per (source, bucket) first, so a source with a
     third of all rows is no hot key.
     """
-    u = uniform(F.col("doc_id"), seed)
-    d = docs.select("doc_id", "source", F.col("size").cast("long").alias("size"), F.expr("0L").alias("__x"), u.alias("__u"))
-    d = d.withColumn("__b", F.floor(F.col("__u") * BUCKETS).cast("int")).drop("__x")
+    carried = [c for c in docs.columns if c not in ("doc_id", "source", "size")]
+    d = docs.withColumn("size", F.col("size").cast("long")).withColumn("__u", uniform(F.col("doc_id"), seed))
+    d = d.withColumn("__b", F.floor(F.col("__u") * BUCKETS).cast("int"))
     sums = stored(d.groupBy("source", "__b").agg(F.sum("size").alias("__s")), "mix-sums")
     goal = stored(targets(sums.groupBy("source").agg(F.sum("__s").alias("source_size")), weights, share_percent, most), "mix-targets")
     goal = goal.withColumn("__copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -110,7 +111,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share_percent: int =
     elsewhere = d.where(~F.col("__b").eqNullSafe(F.col("__edge")))
     below = (F.col("__need") > 0) & (F.col("__b") < F.coalesce(F.col("__edge"), F.lit(BUCKETS)))
     both = at_edge.withColumn("__in", take).drop("__odds", "__sum").unionByName(elsewhere.withColumn("__in", below))
-    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("__copies") + F.col("__in").cast("long")).alias("copies"))
+    return both.select("doc_id", "source", "size", *carried, "source_size", "target", (F.col("__copies") + F.col("__in").cast("long")).alias("copies"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
