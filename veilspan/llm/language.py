@@ -92,7 +92,11 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", sample: int =
     d = docs.select(F.col(lang).alias("__lang"), F.col(text).alias("__text")).where("__lang is not null and __text is not null")
     counts = d.groupBy("__lang").agg(F.count(F.lit(1)).alias("__n"))
     many = {r["__lang"]: r["__n"] for r in counts.collect()}  # one row a language
-    d = d.withColumn("__order", F.xxhash64("__text")).join(counts, "__lang")
+    if not many:
+        return []
+    counts = d.sparkSession.createDataFrame(sorted(many.items()), "__lang string, __n long")
+    # a row a language, which the driver has just held: texts are not shuffled to meet it
+    d = d.withColumn("__order", F.xxhash64("__text")).join(F.broadcast(counts), "__lang")
     share = F.pmod("__order", F.lit(1 << 40)).cast("double") / float(1 << 40)
     chosen = d.where(share * F.col("__n") < sample).select("__lang", "__text", "__order").dropDuplicates(["__lang", "__order"])
     learned = chosen.groupBy("__lang").applyInPandas(_learn, "lang string, content binary").collect()
