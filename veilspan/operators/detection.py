@@ -163,5 +163,9 @@ def detect(df: DataFrame, text: str = "text", output: str = "spans", **options)
 
 
 def long_form(df: DataFrame, key: str, spans: str = "spans") -> DataFrame:
-    """One row a span: key, start, end, label, score, text, source."""
-    return df.select(key, F.explode(spans).alias("s")).select(key, "s.*")
+    """One row a span: key, start, end, label, score, text, source.
+
+    An inner explode would have the optimizer infer a filter on the array and push
+    it below the projection that makes it, and all would be detected twice.
+    """
+    return df.select(key, F.explode_outer(spans).alias("s")).where("s is not null").select(key, "s.*")

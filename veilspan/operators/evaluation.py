@@ -2,8 +2,9 @@
 
 Gold and predictions are long tables (doc_id, start, end, label, text). Both sides
 are distinct on (doc_id, start, end, label) before they are compared; checksum
-failures are counted over the predictions as they come. One full outer join on
-the span keys classifies everything, so no document is gathered.
+failures are counted over the predictions as they come. One aggregation by span key
+does both: each side is read once, and rows of equal keys are combined before the
+shuffle.
 """
 
 from __future__ import annotations
@@ -19,14 +20,16 @@ KEY = ["doc_id", "start", "end", "label"]
 
 
 def classified(gold: DataFrame, found: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
-    """doc_id, start, end, label, kind: tp, fp or fn; one row for each distinct key."""
-    sides = []
-    for side, name in ((gold, "in_gold"), (found, "in_found")):
-        kept = side.where(F.col("label").isin(*labels)) if labels else side
-        sides.append(kept.select(*KEY).distinct().withColumn(name, F.lit(True)))
-    both = sides[0].join(sides[1], KEY, "full_outer")
+    """doc_id, start, end, label, kind (tp, fp or fn), invalid: one row for each
+    distinct key, with the number of its predictions that fail their checksum."""
+    fails = ~F.coalesce(valid_by_label(F.col("label"), F.col("text")), F.lit(True))
+    sides = (gold.select(*KEY, F.lit(True).alias("g"), F.lit(0).alias("bad")), found.select(*KEY, F.lit(False).alias("g"), fails.cast("int").alias("bad")))
+    both = sides[0].unionByName(sides[1])
+    if labels:
+        both = both.where(F.col("label").isin(*labels))
+    keys = both.groupBy(*KEY).agg(F.bool_or("g").alias("in_gold"), F.bool_or(~F.col("g")).alias("in_found"), F.sum("bad").alias("invalid"))
     kind = F.when(F.col("in_gold") & F.col("in_found"), "tp").when(F.col("in_found"), "fp").otherwise("fn")
-    return both.select(*KEY, kind.alias("kind"))
+    return keys.select(*KEY, kind.alias("kind"), "invalid")
 
 
 def _ratio(of: Column, whole: Column) -> Column:
@@ -47,12 +50,9 @@ def report(gold: DataFrame, found: DataFrame, labels: Sequence[str] | None = Non
     measures. The total's invalid_fp is 0: failures are counted by label alone."""
     kinds = classified(gold, found, labels)
     count = lambda k: F.count_if(F.col("kind") == k).alias(k)
-    counts = kinds.rollup("label").agg(count("tp"), count("fp"), count("fn"), F.grouping("label").alias("total"))
+    counts = kinds.rollup("label").agg(count("tp"), count("fp"), count("fn"), F.sum("invalid").alias("invalid"), F.grouping("label").alias("total"))
     counts = counts.where((F.col("total") == 1) | F.col("label").isNotNull())
-    raw = found.where(F.col("label").isin(*labels)) if labels else found
-    invalid = raw.where(~F.coalesce(valid_by_label(F.col("label"), F.col("text")), F.lit(True))).groupBy(F.col("label").alias("__label")).agg(F.count(F.lit(1)).alias("invalid_fp"))
-    out = counts.join(F.broadcast(invalid), F.col("label") == F.col("__label"), "left")  # a row a label
-    out = out.withColumn("invalid_fp", F.coalesce("invalid_fp", F.lit(0)))
+    out = counts.withColumn("invalid_fp", F.when(F.col("total") == 1, 0).otherwise(F.col("invalid")).cast("long"))
     return scored(out).select("label", "tp", "fp", "fn", "invalid_fp", "precision", "recall", "f1", "support")
 
 

@@ -59,12 +59,16 @@ class Recogniser:
         return F.transform(found, candidate).cast(f"array<{CANDIDATE}>")
 
 
+def _rlike(pattern: str) -> Callable[[Column], Column]:
+    return lambda text: text.rlike(pattern)
+
+
 def _digits(n: int) -> Callable[[Column], Column]:
-    return lambda text: text.rlike(f"(?U)\\d{{{n}}}")
+    """Enough ASCII digits in a row, or a digit of another script."""
+    return _rlike(f"[0-9]{{{n}}}|(?U:[\\d&&[^0-9]])")
 
 
-def _some_digit(text: Column) -> Column:
-    return text.rlike(r"(?U)\d\d")
+_some_digit = _digits(2)
 
 
 def _compact(text: Column) -> Column:
@@ -99,33 +103,36 @@ def _plate_kept(found: Column) -> Column:
     return ~(F.substring(compact, 1, 2).isin(*_NO_PLATES) | F.substring(compact, 1, 3).isin(*_NO_PLATES))
 
 
+#: Where a legal form can start.
+_LEGAL_FORM = r"(?U)\s(?:Sp(?:ó|\.)|S\.?A|sp\.?\s*[jk])"
+
 # Patterns of types with a checksum or a simple shape.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 
-PESEL = Recogniser("pesel", "PL_PESEL", ((r"(?<!\d)\d{11}(?!\d)", 0.85),), ("pesel",), ck.is_pesel, possible=_digits(11))
+PESEL = Recogniser("pesel", "PL_PESEL", ((r"(?<![\d+])\d{11}(?!\d)", 0.85),), ("pesel",), ck.is_pesel, possible=_digits(11))
 NIP = Recogniser("nip", "PL_NIP", ((r"(?<!\d)(?:\d{10}|\d{3}-\d{3}-\d{2}-\d{2})(?!\d)", 0.85),), ("nip", "podatkowy", "vat"), lambda t: ck.is_nip(_compact(t)), possible=_some_digit)
 REGON = Recogniser("regon", "PL_REGON", ((r"(?<!\d)(?:\d{14}|\d{9})(?!\d)", 0.85),), ("regon",), ck.is_regon, possible=_digits(9))
 IBAN_PL = Recogniser("iban_pl", "IBAN_CODE", ((r"(?<!\w)PL ?\d{2}(?: ?\d{4}){6}(?!\d)", 0.85),), ("iban", "konto", "rachunek", "account"), ck.is_iban, possible=_some_digit)
 IBAN_ANY = Recogniser(
-    "iban", "IBAN_CODE", ((r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", 0.5),), ("iban", "konto", "rachunek", "account", "bank"), ck.is_iban, possible=lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}")
+    "iban", "IBAN_CODE", ((r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", 0.5),), ("iban", "konto", "rachunek", "account", "bank"), ck.is_iban, possible=_rlike("[A-Z]{2}[0-9]{2}|(?U:[\\d&&[^0-9]])")
 )
 PASSPORT = Recogniser("passport", "PL_PASSPORT", ((r"\b[A-Z]{2}\d{7}\b", 0.4),), ("paszport", "passport", "seria"), possible=_digits(7))
 CARD = Recogniser("card", "CREDIT_CARD", ((r"(?<!\d)(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![ -]?\d)", 0.85),), ("karta", "card", "credit", "płatnicza"), ck.is_luhn, possible=_some_digit)
 EMAILS = Recogniser("email", "EMAIL_ADDRESS", ((EMAIL, 0.6),), ("email", "e-mail", "mail", "kontakt"), possible=lambda t: F.contains(t, F.lit("@")))
 DOWOD = Recogniser("dowod", "PL_ID_CARD", ((r"\b[A-Z]{3} ?\d{6}\b", 0.5),), ("dowód", "dowod", "osobisty", "seria", "tożsamości"), ck.is_dowod, possible=_digits(6))
 PHONE = Recogniser("phone", "PHONE_NUMBER", _PHONES, _PHONE_CONTEXT, possible=_some_digit)
-PLATE = Recogniser("plate", "PL_PLATE", ((_PLATE, 0.3),), _PLATE_CONTEXT, keep=_plate_kept, possible=lambda t: t.rlike(r"[A-Z]{2}"))
+PLATE = Recogniser("plate", "PL_PLATE", ((_PLATE, 0.3),), _PLATE_CONTEXT, keep=_plate_kept, possible=_rlike("[A-Z]{2}"))
 POSTAL = Recogniser(
     "postal",
     "PL_POSTAL_CODE",
     ((r"\b\d{2}-\d{3}\b", 0.3),),
     ("pocztowy", "adres", "ul", "ul.", "ulica", "al.", "os.", "mieszka", "zamieszkania", "korespondencji", "zamieszkały", "zamieszkała"),
-    possible=lambda t: t.rlike(r"(?U)\d-\d"),
+    possible=_rlike(r"(?U)\d-\d"),
 )
-ADDRESS = Recogniser("address", "PL_ADDRESS", ((_STREET, 0.6),), ("adres", "zamieszkania", "korespondencji", "mieszka"), possible=lambda t: t.rlike(r"(?U)\d"))
-DOB = Recogniser("dob", "PL_DOB", ((r"\b\d{1,2}[./-]\d{1,2}[./-]\d{4}\b", 0.2), (r"\b\d{4}-\d{2}-\d{2}\b", 0.2)), possible=lambda t: t.rlike(r"(?U)\d[./-]\d"))
-ORG = Recogniser("org", "ORGANIZATION", ((_COMPANY, 0.7),), ("firma", "sprzedawca", "nabywca", "spółka", "company", "regon", "nip"))
-ORG_STRICT = Recogniser("org_strict", "ORGANIZATION", ((_COMPANY_STRICT, 0.7),), ORG.context)
+ADDRESS = Recogniser("address", "PL_ADDRESS", ((_STREET, 0.6),), ("adres", "zamieszkania", "korespondencji", "mieszka"), possible=_rlike(r"(?U)(?:[Uu]l|[Aa]l|[Oo]s|[Pp]l)(?:\.|ica|eja|iedle|ac)\s+\p{Lu}"))
+DOB = Recogniser("dob", "PL_DOB", ((r"\b\d{1,2}[./-]\d{1,2}[./-]\d{4}\b", 0.2), (r"\b\d{4}-\d{2}-\d{2}\b", 0.2)), possible=_rlike(r"(?U)\d[./-]\d"))
+ORG = Recogniser("org", "ORGANIZATION", ((_COMPANY, 0.7),), ("firma", "sprzedawca", "nabywca", "spółka", "company", "regon", "nip"), possible=_rlike(_LEGAL_FORM))
+ORG_STRICT = Recogniser("org_strict", "ORGANIZATION", ((_COMPANY_STRICT, 0.7),), ORG.context, possible=_rlike(_LEGAL_FORM))
 KRS = Recogniser("krs", "PL_KRS", ((r"(?<!\d)\d{10}(?!\d)", 0.1),), ("krs",), possible=_digits(10))
 
 STANDARD = (PESEL, NIP, REGON, IBAN_PL, PASSPORT, CARD, EMAILS, DOWOD, PHONE, PLATE, POSTAL, ADDRESS, DOB, ORG, IBAN_ANY)

@@ -93,8 +93,9 @@ def with_results_applied(df: DataFrame, text: str = "text", results: str = "anal
     those given, their ends the start and the replacement's length.
     """
     known = F.create_map(*(F.lit(x) for pair in ENTITY_LABELS.items() for x in pair))
-    listed = F.coalesce(F.col(results), F.array().cast("array<struct<entity_type:string,start:int,`end`:int>>"))
-    keyed = F.transform(listed, lambda r, i: F.struct((-r["start"]).alias("k"), i.alias("i"), r["entity_type"].alias("entity_type"), r["start"].cast("int").alias("start"), r["end"].cast("int").alias("end")))
+    given = F.transform(F.col(results), lambda r: F.struct(r["entity_type"].alias("entity_type"), r["start"].cast("int").alias("start"), r["end"].cast("int").alias("end")))
+    listed = F.coalesce(given, F.array().cast("array<struct<entity_type:string,start:int,`end`:int>>"))
+    keyed = F.transform(listed, lambda r, i: F.struct((-r["start"]).alias("k"), i.alias("i"), r["entity_type"].alias("entity_type"), r["start"].alias("start"), r["end"].alias("end")))
     item = "array<struct<operator:string,entity_type:string,start:int,`end`:int>>"
     begin = F.struct(F.col(text).alias("text"), F.array().cast(item).alias("items"))
 
