@@ -7,11 +7,13 @@ with no Python.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilspan.functions.text import let
+
 # The weights of the official checksums.
 PESEL_WEIGHTS = (1, 3, 7, 9, 1, 3, 7, 9, 1, 3)
 NIP_WEIGHTS = (6, 5, 7, 2, 3, 4, 5, 6, 7)
@@ -34,25 +36,24 @@ def weighted(text: Column, weights: Sequence[int]) -> Column:
     return total
 
 
-def _checked(text: Column, shape: str, valid: Column) -> Column:
-    return F.when(text.isNull(), None).otherwise(F.when(text.rlike(shape), valid).otherwise(False))
+def _checked(text: Column, shape: str, valid: Callable[[Column], Column]) -> Column:
+    return let(text, lambda t: F.when(t.isNull(), None).otherwise(F.when(t.rlike(shape), valid(t)).otherwise(False)))
 
 
 def is_pesel(text: Column) -> Column:
-    check = (10 - weighted(text, PESEL_WEIGHTS) % 10) % 10
-    return _checked(text, r"^[0-9]{11}$", check == value_at(text, 11))
+    return _checked(text, r"^[0-9]{11}$", lambda t: (10 - weighted(t, PESEL_WEIGHTS) % 10) % 10 == value_at(t, 11))
 
 
 def is_nip(text: Column) -> Column:
-    return _checked(text, r"^[0-9]{10}$", weighted(text, NIP_WEIGHTS) % 11 == value_at(text, 10))
+    return _checked(text, r"^[0-9]{10}$", lambda t: weighted(t, NIP_WEIGHTS) % 11 == value_at(t, 10))
 
 
 def is_regon9(text: Column) -> Column:
-    return _checked(text, r"^[0-9]{9}$", weighted(text, REGON9_WEIGHTS) % 11 % 10 == value_at(text, 9))
+    return _checked(text, r"^[0-9]{9}$", lambda t: weighted(t, REGON9_WEIGHTS) % 11 % 10 == value_at(t, 9))
 
 
 def is_regon14(text: Column) -> Column:
-    return _checked(text, r"^[0-9]{14}$", weighted(text, REGON14_WEIGHTS) % 11 % 10 == value_at(text, 14))
+    return _checked(text, r"^[0-9]{14}$", lambda t: weighted(t, REGON14_WEIGHTS) % 11 % 10 == value_at(t, 14))
 
 
 def is_regon(text: Column) -> Column:
@@ -60,25 +61,27 @@ def is_regon(text: Column) -> Column:
 
 
 def is_dowod(text: Column) -> Column:
-    t = F.upper(F.replace(text, F.lit(" "), F.lit("")))
-    return _checked(t, r"^[A-Z]{3}[0-9]{6}$", weighted(t, DOWOD_WEIGHTS) % 10 == value_at(t, 4))
+    compact = F.upper(F.replace(text, F.lit(" "), F.lit("")))
+    return _checked(compact, r"^[A-Z]{3}[0-9]{6}$", lambda t: weighted(t, DOWOD_WEIGHTS) % 10 == value_at(t, 4))
 
 
 def is_iban(text: Column) -> Column:
     """Mod 97 over the rearranged characters, letters as two digits."""
-    t = F.upper(F.replace(text, F.lit(" "), F.lit("")))
-    moved = F.concat(F.substring(t, 5, 34), F.substring(t, 1, 4))
-    left = F.aggregate(
-        F.split(moved, ""),
-        F.lit(0),
-        lambda acc, c: F.when(F.ascii(c) <= 57, (acc * 10 + F.ascii(c) - 48) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97),
-    )
-    return _checked(t, r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$", left == 1)
+
+    def valid(t: Column) -> Column:
+        moved = F.concat(F.substring(t, 5, 34), F.substring(t, 1, 4))
+        left = F.aggregate(
+            F.split(moved, ""),
+            F.lit(0),
+            lambda acc, c: F.when(F.ascii(c) <= 57, (acc * 10 + F.ascii(c) - 48) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97),
+        )
+        return left == 1
+
+    return _checked(F.upper(F.replace(text, F.lit(" "), F.lit(""))), r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$", valid)
 
 
 def is_luhn(text: Column) -> Column:
-    t = F.regexp_replace(text, "[ -]", "")
-    return _checked(t, r"^[0-9]{13,19}$", F.call_function("luhn_check", t))
+    return _checked(F.regexp_replace(text, "[ -]", ""), r"^[0-9]{13,19}$", lambda t: F.call_function("luhn_check", t))
 
 
 def valid_by_label(label: Column, text: Column) -> Column:

@@ -11,6 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Stands for a match; texts that hold it are split the slow way.
+MARK = "\u0001"
+
+
 def literal(pattern: str) -> Column:
     """A pattern whose classes and borders know all of Unicode."""
     return F.lit("(?U)" + pattern)
@@ -23,7 +27,10 @@ def matches(text: Column, pattern: str) -> Column:
     """
     p = literal(pattern)
     found = F.regexp_extract_all(text, p, F.lit(0))
-    between = F.split(text, "(?U)" + pattern, -1)
+    # splitting at a single character needs no expression; splitting at the pattern
+    # would compile it anew for every row
+    marked = F.split(F.regexp_replace(text, p, F.lit(MARK)), MARK, -1)
+    between = F.when(F.contains(text, F.lit(MARK)), F.split(text, "(?U)" + pattern, -1)).otherwise(marked)
     pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("hit"))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,`end`:int,text:string>>").alias("out"))
 
@@ -51,11 +58,15 @@ def last_words(text: Column, n: int) -> Column:
     return F.array_join(F.reverse(F.slice(F.reverse(words), 1, n)), " ")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def contains_any(text: Column, words: tuple[str, ...] | list[str]) -> Column:
-    hit = F.lit(False)
-    for w in words:
-        hit = hit | F.contains(text, F.lit(w))
-    return hit
+    """Whether text holds one of the words in any case: one expression, so what gives
+    the text is evaluated once and not for each word."""
+    return text.rlike("(?iu)" + "|".join(rf"\Q{w}\E" for w in words))
 
 
 def spliced(text: Column, spans: Column, replacement: Callable[[Column], Column]) -> Column:

@@ -71,8 +71,8 @@ def _annotated(text: Column, found: Column) -> Column:
 
     def one(c: Column) -> Column:
         label = _label(c["entity"])
-        window = F.lower(before(text, c["start"], HINT_WINDOW))
-        street = (label == "POSTAL") & contains_any(F.lower(before(text, c["start"], STREET_WINDOW)), STREET_WORDS)
+        window = before(text, c["start"], HINT_WINDOW)
+        street = (label == "POSTAL") & contains_any(before(text, c["start"], STREET_WINDOW), STREET_WORDS)
         return F.struct(
             c["start"].alias("start"),
             c["end"].alias("end"),
@@ -82,7 +82,7 @@ def _annotated(text: Column, found: Column) -> Column:
             c["source"].alias("source"),
             F.trim(c["text"], F.lit(" .,:;")).alias("bare"),
             _hinted(label, window).alias("hint"),
-            ((label == "CARD") & F.contains(window, F.lit("regon"))).alias("regon"),
+            ((label == "CARD") & contains_any(window, HINTS["REGON"])).alias("regon"),
             ((label == "DOB") & before(text, c["start"], BIRTH_WINDOW).rlike(BIRTH)).alias("birth"),
             ((label == "POSTAL") & after(text, c["end"], CITY_WINDOW).rlike(CITY)).alias("city"),
             street.alias("street"),

@@ -50,7 +50,7 @@ class Recogniser:
         def candidate(m: Column) -> Column:
             score = F.lit(own)
             if self.context and own < 1.0:
-                near = F.lower(last_words(before(text, m["start"], 200), settings.context_words))
+                near = last_words(before(text, m["start"], 200), settings.context_words)
                 raised = min(1.0, max(own + settings.context_boost, settings.context_floor))
                 score = F.when(contains_any(near, self.context), raised).otherwise(own)
             values = (m["start"], m["end"], F.lit(self.entity), score, m["text"], F.lit("pattern"), F.lit(self.name))
