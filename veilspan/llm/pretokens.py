@@ -21,7 +21,7 @@ from veilspan.llm.common import worker_memo
 #: A tokenizer file of public_tokenizers.
 VOCABULARY = "word_bpe_49k.json"
 #: Pre-token texts whose pieces a worker remembers at most.
-MEMO = 500_000
+MEMO = 900_000
 #: Pre-tokens that are encoded as one text, to be parted at the ends of words.
 JOINED = 64
 
