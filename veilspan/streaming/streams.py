@@ -37,7 +37,7 @@ class VaultProcessor(StatefulProcessor):
                         self.stored.update((payload,))
                 else:
                     answers.append(self.stored.get()[0] if self.stored.exists() else None)
-        yield pd.DataFrame({"session_id": [key[0]] * len(answers), "mapping": pd.Series(answers, dtype="object")})
+        yield pd.DataFrame({"session_id": [key[0]] * len(answers), "mapping": answers}, dtype="object")
 
     def close(self) -> None:
         pass
@@ -60,7 +60,7 @@ class LimiterProcessor(StatefulProcessor):
         hits = pd.concat(list(rows)).sort_values(["at", "hit_id"])
         out = [accepts(times, t, self.limit, self.window) for t in hits["at"]]
         self.accepted.update((list(times),))
-        yield pd.DataFrame({"key": [key[0]] * len(out), "hit_id": hits["hit_id"].to_list(), "accepted": out})
+        yield pd.DataFrame({"key": pd.Series([key[0]] * len(out), dtype="object"), "hit_id": hits["hit_id"].to_list(), "accepted": out})
 
     def close(self) -> None:
         pass
