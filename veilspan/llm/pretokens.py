@@ -21,13 +21,15 @@ from veilspan.llm.common import worker_memo
 #: A tokenizer file of public_tokenizers.
 VOCABULARY = "word_bpe_49k.json"
 #: Pre-token texts whose pieces a worker remembers at most.
-MEMO = 900_000
+MEMO = 500_000
 #: Pre-tokens that are encoded as one text, to be parted at the ends of words.
 JOINED = 64
 
 #: The pre-tokenizer's expression, for characters below U+0250, where [^\W\d_] and
 #: the superscripts, fractions and ordinals have to be told apart by hand.
-_QUICK = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
+_QUICK = re.compile(r"[^\W\d_²³¹¼½¾]+|'(?:s|t|re|ve|m|ll|d)|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
+#: The same for ASCII alone, in which the classes are short.
+_ASCII = re.compile(r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s0-9a-z]+")
 _CONTROL = re.compile("[\x1c-\x1f]").search
 _LATIN = re.compile("[\x00-\x1b\x20-ɏ]*").fullmatch
 
@@ -68,9 +70,9 @@ class Vocabulary:
 
     def split(self, text: str) -> list[str]:
         """The pre-tokens of text in order; a special token's string is one."""
-        if text.isascii() and not _CONTROL(text) or _LATIN(text):
-            if self._special is None or not self._special.search(text):
-                return _QUICK.findall(text.lower())
+        ascii_ = text.isascii() and not _CONTROL(text)
+        if (ascii_ or _LATIN(text)) and not (self._special and self._special.search(text)):
+            return (_ASCII if ascii_ else _QUICK).findall(text.lower())
         out: list[str] = []
         for k, part in enumerate(self._special.split(text) if self._special else [text]):
             if k % 2:
