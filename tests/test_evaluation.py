@@ -104,3 +104,24 @@ def test_rate_limit_counts_accepted_hits_alone(spark):
     assert [got[n] for n in range(12)] == [True, True, True, False, False, False, True, True, True, False, False, True]
     nulls = spark.createDataFrame([(None, None, 1), (None, None, 2)], "ip string, at timestamp, n long")
     assert [r["accepted"] for r in rate_limited(nulls, "ip", "at", "n").collect()] == [False, False]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from veilspan.plans import evaluate
+
+    path, gates = str(tmp_path / "corpus"), tmp_path / "gates.json"
+    assert evaluate.main(["make", path, "--n", "60"]) == 0
+    assert "umowa" in capsys.readouterr().out
+    gates.write_text(json.dumps({"micro_f1": 0.9, "labels": {"PESEL": {"recall": 1.0, "min_support": 1}}}))
+    assert evaluate.main(["run", path, "--gates", str(gates), "--labels", "PESEL,DOB", "--report", str(tmp_path / "r.json")]) == 0
+    assert json.loads((tmp_path / "r.json").read_text())["per_label"]["PESEL"]["tp"] == 60
+    gates.write_text(json.dumps({"labels": {"PESEL": {"min_support": 61}}}))
+    assert evaluate.main(["run", path, "--gates", str(gates), "--labels", "PESEL", "--limit", "20"]) == 1
+
+
+def test_form(spark):
+    from veilspan.plans.engine import Engine
+
+    df = spark.createDataFrame([("mail a@b.pl",), ("  ",), (None,), ("x" * 30,)], "text string")
+    rows = [(r["message"], r["redacted_text"], r["summary"]) for r in Engine(Settings()).redact_form(df, mode="odd", most=20).collect()]
+    assert rows == [(None, "mail <EMAIL>", "EMAIL×1"), ("empty text", None, None), ("empty text", None, None), ("text exceeds 20 characters", None, None)]

@@ -36,6 +36,11 @@ def resolve_profile(profile: str | None = None, mode: str | None = None) -> Prof
     return MODES[mode or "replace"]
 
 
+def form_mode(mode: str | None) -> str:
+    """What a form's free choice of mode stands for: replace, if it is no mode."""
+    return mode if mode in MODES else "replace"
+
+
 def placeholder(span: Column) -> Column:
     return F.concat(F.lit("<"), span["label"], F.lit(">"))
 

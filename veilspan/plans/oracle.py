@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from veilspan.functions.crypto import pads
 from veilspan.operators.recognizers import EMAIL
-from veilspan.plans.queries import _CHECKS, _RAW, _SENTENCES, NOW, PUBLIC, STORE
+from veilspan.plans.queries import _CHECKS, _RAW, _SENTENCES, IDENTIFIERS, NOW, PUBLIC, STORE
 from veilspan.sources.synthetic import corpus_sql, identifiers_sql
 
 _IDS = "(SELECT o_orderkey AS id FROM orders)"
@@ -125,6 +125,8 @@ SELECT doc_id, start, start + length(t)::INTEGER AS "end", 'EMAIL' AS label, CAS
 SELECT doc_id, digits, list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse(digits), i, 1)::INTEGER ELSE substr(reverse(digits), i, 1)::INTEGER * 2 - CASE WHEN substr(reverse(digits), i, 1) > '4' THEN 9 ELSE 0 END END)) % 10 = 0 AS valid
 FROM runs WHERE length(digits) BETWEEN 13 AND 19""",
     **{f"check_{n}": f"SELECT id, CASE WHEN id % 2 = 0 THEN {good} ELSE {bad} END AS value, id % 2 = 0 AS valid FROM {_MADE}" for n, (good, bad, _) in _CHECKS.items()},
+    "identifiers": f"SELECT id, {', '.join(IDENTIFIERS)} FROM {_MADE}",
+    "redact_form": "SELECT doc_id, CASE WHEN trim(text) = '' THEN 'empty text' ELSE 'text exceeds 0 characters' END AS message, NULL::VARCHAR AS redacted_text FROM documents",
     "sql_functions": f"SELECT id, true AS a, false AS b, true AS c, false AS d, true AS e, true AS f, true AS g FROM {_IDS}",
     "canonical_forms": " UNION ALL ".join(f"SELECT id, '{label}' AS label, {_CANONICAL[label]} AS canonical FROM made" for label in _RAW).join((f"WITH made AS (SELECT * FROM {_MADE}) ", "")),
     "corpus": f"SELECT doc_id, template, language, text FROM {_CORPUS}",

@@ -180,6 +180,14 @@ def _check(name: str) -> Query:
     return query
 
 
+IDENTIFIERS = ("pesel", "nip", "nip_dashed", "regon9", "regon14", "iban", "dowod", "passport", "card", "phone", "plate", "postal", "email", "krs", "dob", "bad_pesel", "bad_nip", "bad_iban", "bad_dowod", "person", "street")
+
+
+def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything the generators make, a row an order."""
+    return _identifiers(spark, sf_dir).select("id", *IDENTIFIERS)
+
+
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark)
     rows = _identifiers(spark, sf_dir)
@@ -353,6 +361,11 @@ def vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ENGINE.restore(asked, vault=stored, now=F.col("now")).select("event_id", "restored_text")
 
 
+def redact_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ENGINE.redact_form(_documents(spark, sf_dir), mode="no such mode", most=0)
+    return out.select("doc_id", "message", "redacted_text")
+
+
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The limiter over users' events: two hits an hour."""
     events = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
@@ -377,11 +390,13 @@ QUERIES: dict[str, Query] = {
     "summaries": summaries,
     "audit": audit,
     "size_guard": size_guard,
+    "redact_form": redact_form,
     "response_json": response_json,
     "languages": languages,
     "linkable_email": linkable_email,
     "luhn_runs": luhn_runs,
     **{f"check_{name}": _check(name) for name in _CHECKS},
+    "identifiers": identifiers,
     "sql_functions": sql_functions,
     "canonical_forms": canonical_forms,
     "corpus": corpus,
