@@ -52,7 +52,7 @@ def features(text: str | None) -> np.ndarray:
 def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """(places, weights, bias): the weights that are not zero."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    rows = [np.unique(features(t)) for t in texts]
+    rows = [np.unique(features(t)).astype(np.int32) for t in texts]
     bz = bn = 0.0
     for _ in range(epochs):
         for at, y in zip(rows, labels, strict=True):
