@@ -5,16 +5,20 @@ its documents, the commonest last, where matches are cheapest. A text is lower-
 cased, everything but letters becomes one space, and the whole of it is compressed
 in pieces with each dictionary. The language with the smallest sum is predicted.
 The margin to the next is the score; narrow margins are for a caller to reject.
+How narrow is told by the margins that texts of the learned languages have with
+dictionaries of other texts (`bounds`), for each length class.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import crc_of_id, read, worker_memo
+from veilspan.llm.common import crc_of_id, read, stored, worker_memo
 
 #: About so many documents of each language are read for its dictionary.
 SAMPLE = 1000
@@ -24,9 +28,13 @@ PIECE = 1024
 #: Shorter pieces get so many spaces before them: zstandard stores a block as it
 #: is unless it shrinks, and the spaces always do.
 SHORT, SPACES = 256, 64
-#: A longer text (in bytes of letters) whose margin is below this is rejected by
-#: `accepted`. The margin of a text of a few words says nothing either way.
+#: Without bounds (see `bounds`), a longer text (in bytes of letters) whose margin
+#: is below this is rejected by `accepted`.
 NARROW, TELLING = 0.002, 200
+#: Least bytes of letters of each length class. The bound of a class is SLACK times
+#: the QUANTILE of its margins, of FEW margins at least.
+CLASSES = (1, 25, 50, 100, 200, 400, 1000)
+QUANTILE, SLACK, FEW = 0.05, 0.5, 20
 UNKNOWN = "und"
 
 _REST = re.compile(r"[\W\d_]+")
@@ -75,6 +83,23 @@ def classify(data: bytes, compressors: list[tuple[str, object]]) -> tuple[str, f
     return compressors[best][0], (second - sizes[best]) / second
 
 
+def length_class(size: int) -> int:
+    return max(0, bisect_right(CLASSES, size) - 1)
+
+
+def fragments(data: bytes) -> list[bytes]:
+    """The text's letters, and runs of its words of every shorter length class."""
+    out = [data]
+    for low, high in pairwise(CLASSES):
+        for part in (0, 1, 2):
+            # from a word's beginning to a word's end
+            at = data.find(b" ", len(data) * part // 3) + 1 if part else 0
+            piece = data[at : at + (low + high) // 2 + 1].rpartition(b" ")[0]
+            if low <= len(piece) < high:
+                out.append(piece)
+    return out
+
+
 def _learn(rows):
     import pandas as pd
 
@@ -82,6 +107,24 @@ def _learn(rows):
     return pd.DataFrame({"lang": [rows["__lang"].iloc[0]], "content": [dictionary(rows["__text"].tolist())]})
 
 
+def _sampled(docs: DataFrame, lang: str, text: str, sample: int) -> tuple[dict[str, int], DataFrame]:
+    """Rows of each language, and the rows that are learned from."""
+    d = docs.select(F.col(lang).alias("__lang"), F.col(text).alias("__text")).where("__lang is not null and __text is not null")
+    counts = d.groupBy("__lang").agg(F.count(F.lit(1)).alias("__n"))
+    many = {r["__lang"]: r["__n"] for r in counts.collect()}  # one row a language
+    if not many:
+        return {}, d
+    counts = d.sparkSession.createDataFrame(sorted(many.items()), "__lang string, __n long")
+    # a row a language, which the driver has just held: texts are not shuffled to meet it
+    d = d.withColumn("__order", F.xxhash64("__text")).join(F.broadcast(counts), "__lang")
+    share = F.pmod("__order", F.lit(1 << 40)).cast("double") / float(1 << 40)
+    return many, d.where(share * F.col("__n") < sample).select("__lang", "__text", "__order").dropDuplicates(["__lang", "__order"])
+
+
+def _learn_half(rows):
+    return _learn(rows).assign(half=int(rows["__half"].iloc[0]))[["lang", "half", "content"]]
+
+
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", sample: int = SAMPLE) -> list[tuple[str, bytes]]:
     """(language, dictionary content), the language with most documents first.
 
@@ -89,22 +132,48 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", sample: int =
     language are read, those whose hashes are least, so no language is a large
     group however large its share of the rows.
     """
-    d = docs.select(F.col(lang).alias("__lang"), F.col(text).alias("__text")).where("__lang is not null and __text is not null")
-    counts = d.groupBy("__lang").agg(F.count(F.lit(1)).alias("__n"))
-    many = {r["__lang"]: r["__n"] for r in counts.collect()}  # one row a language
+    many, chosen = _sampled(docs, lang, text, sample)
     if not many:
         return []
-    counts = d.sparkSession.createDataFrame(sorted(many.items()), "__lang string, __n long")
-    # a row a language, which the driver has just held: texts are not shuffled to meet it
-    d = d.withColumn("__order", F.xxhash64("__text")).join(F.broadcast(counts), "__lang")
-    share = F.pmod("__order", F.lit(1 << 40)).cast("double") / float(1 << 40)
-    chosen = d.where(share * F.col("__n") < sample).select("__lang", "__text", "__order").dropDuplicates(["__lang", "__order"])
     learned = chosen.groupBy("__lang").applyInPandas(_learn, "lang string, content binary").collect()
     return sorted(((r["lang"], bytes(r["content"])) for r in learned), key=lambda x: (-many[x[0]], x[0]))
 
 
-def classifier(spark: SparkSession, model: list[tuple[str, bytes]]):
-    """A function of a text column: struct (lang, margin, size of the letters)."""
+def bounds(docs: DataFrame, lang: str = "lang", text: str = "text", sample: int = SAMPLE) -> dict[tuple[str, int], float]:
+    """(language, length class): the margin below which a text is not of it.
+
+    The sample that `train` learns from is halved. The texts of each half, whole
+    and in fragments, are classified with dictionaries of the other half, so no
+    margin owes anything to a text's own words. Classes with few margins have none.
+    """
+    many, chosen = _sampled(docs, lang, text, sample)
+    if not many:
+        return {}
+    chosen = stored(chosen.withColumn("__half", F.pmod(F.shiftright("__order", 40), F.lit(2))), "language-sample")
+    halves = chosen.groupBy("__lang", "__half").applyInPandas(_learn_half, "lang string, half long, content binary").collect()
+    models = [sorted((r["lang"], bytes(r["content"])) for r in halves if r["half"] != k) for k in (0, 1)]
+    held = docs.sparkSession.sparkContext.broadcast(models)
+
+    def measure(frames):
+        import pandas as pd
+
+        ways = [[(g, compressor(content)) for g, content in model] for model in held.value]
+        for frame in frames:
+            out = []
+            for own, body, half in zip(frame["__lang"], frame["__text"], frame["__half"], strict=True):
+                if len(ways[half]) > 1 and own in {g for g, _ in ways[half]}:
+                    out += [(*classify(x, ways[half]), length_class(len(x))) for x in fragments(letters(body)) if x]
+            yield pd.DataFrame(out, columns=["lang", "margin", "class"])
+
+    rows = chosen.select("__lang", "__text", "__half").mapInPandas(measure, "lang string, margin double, class int")
+    found = rows.groupBy("lang", "class").agg(F.percentile("margin", F.lit(QUANTILE)).alias("low"), F.count(F.lit(1)).alias("n"))
+    return {(r["lang"], r["class"]): SLACK * r["low"] for r in found.where(F.col("n") >= FEW).collect()}
+
+
+def classifier(spark: SparkSession, model: list[tuple[str, bytes]], narrow: dict[tuple[str, int], float] | None = None):
+    """A function of a text column: struct (lang, margin, size of the letters, least
+    margin of a text of this language and length as `narrow` has it)."""
+    narrow = narrow or {}
     # one dictionary of DICTIONARY bytes a language
     held = spark.sparkContext.broadcast(model)
 
@@ -117,10 +186,12 @@ def classifier(spark: SparkSession, model: list[tuple[str, bytes]]):
         out = []
         for text in column:
             data = letters(text)
-            out.append((*classify(data, memo[key]), len(data)))
-        return pd.DataFrame(out, columns=["lang", "margin", "size"])
+            lang, margin = classify(data, memo[key])
+            least = narrow.get((lang, length_class(len(data))), NARROW if len(data) >= TELLING else 0.0)
+            out.append((lang, margin, len(data), least))
+        return pd.DataFrame(out, columns=["lang", "margin", "size", "least"])
 
-    udf = F.pandas_udf(run, "lang string, margin double, size long")
+    udf = F.pandas_udf(run, "lang string, margin double, size long, least double")
 
     def of(text: Column) -> Column:
         return udf(text)
@@ -129,21 +200,22 @@ def classifier(spark: SparkSession, model: list[tuple[str, bytes]]):
 
 
 def accepted(found: Column) -> Column:
-    """False for texts without letters and for telling texts with narrow margins."""
-    return (found["lang"] != UNKNOWN) & ((found["margin"] >= NARROW) | (found["size"] < TELLING))
+    """False for texts without letters and for texts with narrow margins."""
+    return (found["lang"] != UNKNOWN) & (found["margin"] >= found["least"])
 
 
 def identify(docs: DataFrame, train_docs: DataFrame, text: str = "text", name: str = "language") -> DataFrame:
-    """docs with the struct column `name` (lang, margin, size); one of that name is
-    replaced. Null texts and texts without letters are `und` with margin 0; texts
+    """docs with the struct column `name` (lang, margin, size, least); one of that
+    name is replaced. Null texts and texts without letters are `und` with margin 0; texts
     that no dictionary tells apart go to the language with most documents.
     Without any labelled row all are `und`. An empty table stays empty.
     """
-    return docs.withColumn(name, classifier(docs.sparkSession, train(train_docs))(F.col(text)))
+    return docs.withColumn(name, classifier(docs.sparkSession, train(train_docs), bounds(train_docs))(F.col(text)))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = F.pmod(crc_of_id(), F.lit(5)) == 0
-    found = identify(docs.select("doc_id", "text"), docs.where(~held_out), name="found")
+    # all margins are given, so none needs a bound
+    found = docs.withColumn("found", classifier(spark, train(docs.where(~held_out)))(F.col("text")))
     return found.select("doc_id", held_out.alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.margin").alias("score"))
