@@ -102,10 +102,10 @@ class Engine:
             new = tf.replaced(t, s)
         return found.withColumn("redacted_text", new).withColumn("privacy", tf.privacy(chosen))
 
-    def redact_form(self, df: DataFrame, text: str = "text", mode: str | None = None, most: int = 2000) -> DataFrame:
+    def redact_form(self, df: DataFrame, text: str = "text", mode: str | None = None, most: int = 2000, labels: Sequence[str] | None = None) -> DataFrame:
         """For forms: an unknown mode is replace, blank texts and texts over `most`
         characters are not touched and have a message; the others have a summary."""
-        out = self.redact(df, text, mode=tf.form_mode(mode))
+        out = self.redact(df, text, mode=tf.form_mode(mode), labels=labels)
         t = F.col(text)
         message = F.when(t.isNull() | (F.trim(t) == ""), "empty text").when(F.length(t) > most, f"text exceeds {most} characters")
         return out.withColumns({"message": message, "redacted_text": F.when(message.isNull(), F.col("redacted_text")), "summary": F.when(message.isNull(), tf.summary(F.col("spans")))})

@@ -127,6 +127,7 @@ FROM runs WHERE length(digits) BETWEEN 13 AND 19""",
     **{f"check_{n}": f"SELECT id, CASE WHEN id % 2 = 0 THEN {good} ELSE {bad} END AS value, id % 2 = 0 AS valid FROM {_MADE}" for n, (good, bad, _) in _CHECKS.items()},
     "identifiers": f"SELECT id, {', '.join(IDENTIFIERS)} FROM {_MADE}",
     "redact_form": "SELECT doc_id, CASE WHEN trim(text) = '' THEN 'empty text' ELSE 'text exceeds 0 characters' END AS message, NULL::VARCHAR AS redacted_text FROM documents",
+    "redact_form_texts": f"SELECT doc_id, message, CASE WHEN message IS NULL THEN regexp_replace(text, '{EMAIL}', '<EMAIL>', 'g') END AS redacted_text FROM (SELECT doc_id, text, CASE WHEN coalesce(trim(text), '') = '' THEN 'empty text' WHEN length(text) > 2000 THEN 'text exceeds 2000 characters' END AS message FROM documents)",
     "sql_functions": f"SELECT id, true AS a, false AS b, true AS c, false AS d, true AS e, true AS f, true AS g FROM {_IDS}",
     "canonical_forms": " UNION ALL ".join(f"SELECT id, '{label}' AS label, {_CANONICAL[label]} AS canonical FROM made" for label in _RAW).join((f"WITH made AS (SELECT * FROM {_MADE}) ", "")),
     "corpus": f"SELECT doc_id, template, language, text FROM {_CORPUS}",
