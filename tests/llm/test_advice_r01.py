@@ -30,3 +30,25 @@ def test_unlearned_languages_and_gibberish_go(spark):
     assert kept["left out"] <= 0.1 * unknown.count()
     assert sum(r["lang"] is not None for r in out) >= 0.99 * known.count()
     assert language.bounds(known.limit(0)) == {}
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><div style='overflow:hidden'><p>kept</p></div></article>", "kept"),
+        ("<article><p title='the hidden cost'>kept</p></article>", "kept"),
+        ("<article><section aria-hidden='false' data-x='hidden'>kept</section></article>", "kept"),
+        ("<article><p>kept<p HIDDEN=''>no</p><div class=x hidden>no</div><div hidden=until-found>found</div></article>", "kept\n\nfound"),
+        ("<body class='single-post right-sidebar'><article><p>kept</p></article></body>", "kept"),
+        ("<body class='page'><div class='content with-sidebar'><h1>Title words</h1><main><p>kept</p></main></div></body>", "Title words\n\nkept"),
+        ("<div id=nav-wrapper><article class='post has-comments'><p>kept</p></article></div>", "kept"),
+        ("<div class='wrapper right-sidebar'><main class='no-sidebar'><p>kept</p><div class=sidebar><p>no</p></div></main><div class=sidebar><article>no</article></div></div>", "kept"),
+        ("<div class='layout sidebar'><article><p>kept</p></article></div><div class=comments><article>no</article></div>", "kept"),
+        ("<div class=post><p>kept</p></div><div class=comments><article>no</article></div>", "kept"),
+        ("<nav><article>no</article></nav><div class='menu-open'><main>kept</main></div>", "kept"),
+    ],
+)
+def test_attributes_of_wrappers_drop_no_article(page, text):
+    from veilspan.llm import extraction
+
+    assert extraction.extract(page, extraction.grow(extraction.table())) == text

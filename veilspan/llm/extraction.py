@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,10 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)>|<[!?/][^>]*+>",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: A name, with a value if it has one, from the end of the one before.
+_ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]*+)))?")
+_OWN, _MAIN = re.compile(r"<(?:main|article)(?=[\s/>])", re.I), re.compile(r"<main(?=[\s/>])", re.I)
+_HAS = re.compile(r"(?<![^\s])(?:has|with|without|no)[-_]\S+", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 #: Tags that end a block.
@@ -43,6 +47,8 @@ WORDS = {w: BOILER for w in "ad ads advert adverts advertisement advertising ads
 WORDS |= {w: FIXED for w in "sidebar menu nav navigation navbar topbar breadcrumb breadcrumbs masthead footer copyright contentinfo complementary comment comments discussion disqus respond reply replies reactions related recommended recommendations trending share sharing social login signup search form widget toolbar pagination pager tracking".split()}
 WORDS |= {w: ARTICLE for w in "article main content post entry story".split()}
 WORDS |= {"header": "header"}
+#: Words of FIXED that say what an article inside is: no article of the page's own.
+OTHERS = frozenset("comment comments discussion disqus respond reply replies reactions related recommended recommendations trending".split())
 
 #: What was looked at, then 1 to keep. Rows: container (1 article, -1 boilerplate,
 #: 0 nothing said), words, link density, the same two of the block before and of
@@ -150,16 +156,85 @@ def table() -> np.ndarray:
     return np.array([line.split() for line in TABLE.strip().splitlines()], float)
 
 
-def _says(name: str, rest: str, above: str) -> str:
+def _attributes(rest: str) -> dict[str, str]:
+    """Of a tag's names and values, the first value of each name."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(rest):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes and attributes["hidden"].lower() != "until-found"
+
+
+def _words(attributes: dict[str, str]) -> set[str]:
+    """Those of class, id and role; with-sidebar and the like say what else there is."""
+    return {w.lower() for k in ("class", "id", "role") if k in attributes for w in _NAME.findall(_HAS.sub(" ", attributes[k]))}
+
+
+def _outer(page: str) -> set[int]:
+    """Where the containers begin that hold the page's main or else its first article,
+    and where that begins. Their words for FIXED say what else they hold. One that is
+    skipped, in a tag for FIXED or, as an article, in a container of OTHERS is not it."""
+    if not (found := _OWN.search(page)):
+        return set()
+    last, first = _MAIN.search(page, found.start()), None
+    stack: list[tuple[str, int, bool, bool]] = []  # name, where, never holds it, holds other articles
+    for m in _tags(page):
+        name = (m["name"] or m["name2"]).lower()
+        if m["end"] or m["end2"]:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == name:
+                    del stack[k:]
+                    break
+            continue
+        if name not in SKIPPED and name not in CONTAINERS:
+            continue
+        if name == "p" and stack and stack[-1][0] == "p":
+            stack.pop()
+        attributes = _attributes(m["rest"] or m["rest2"] or "")
+        never = name in SKIPPED or CONTAINERS[name] in (FIXED, "header") or _hidden(attributes)
+        others = name != "body" and not OTHERS.isdisjoint(_words(attributes))
+        stack.append((name, m.start(), never, others))
+        if name in ("main", "article") and not any(x[2] for x in stack):
+            if name == "main":
+                return {x[1] for x in stack}
+            if first is None and not any(x[3] for x in stack):
+                first = {x[1] for x in stack}
+        if first is not None and last is None:
+            break
+    return first or set()
+
+
+def _tags(page: str) -> Iterator[re.Match]:
+    """The page's tags; what is inside a raw one is none."""
+    at = 0
+    while m := _TAG.search(page, at):
+        at = m.end()
+        name = (m["name"] or m["name2"] or "").lower()
+        if not name:
+            continue
+        yield m
+        if name in RAW and not (m["end"] or m["end2"]):
+            at = _raw_end(page, name, at)
+
+
+def _raw_end(page: str, name: str, at: int) -> int:
+    found = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+    return found.start() if found else len(page)
+
+
+def _says(name: str, rest: str, above: str, outer: bool = False) -> str:
     """What a container says of its content, given what holds around it."""
     own = CONTAINERS.get(name, PLAIN)
-    found = set()
-    for m in _ATTRIBUTE.finditer(rest) if rest else ():
-        if m[1].lower() == "hidden":
-            if m[2] is None or m[2] != "until-found":
-                return SKIP
-        else:
-            found |= {WORDS.get(w.lower()) for w in _NAME.findall(m[2] or m[3] or m[4] or "")}
+    attributes = _attributes(rest) if rest else {}
+    if _hidden(attributes):
+        return SKIP
+    # the body's words are of the whole page
+    found = {WORDS.get(w) for w in _words(attributes)} if name != "body" else set()
+    if outer:
+        found.discard(FIXED)
     if above in (FIXED, SKIP):
         return above
     if FIXED in found or own == FIXED:
@@ -179,6 +254,7 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
     out, parts, links, anchors = [], [], 0, 0
     stack: list[tuple[str, str]] = []
     says = PLAIN
+    outer = _outer(page)
 
     def flush() -> None:
         nonlocal parts, links
@@ -224,13 +300,12 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
                     says = stack[-1][1] if stack else PLAIN
                     break
         elif name in RAW:
-            found = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
-            at = found.start() if found else n
+            at = _raw_end(page, name, at)
         elif name in SKIPPED or name in CONTAINERS:
             if name == "p" and stack and stack[-1][0] == "p":  # a paragraph ends the one before
                 stack.pop()
                 says = stack[-1][1] if stack else PLAIN
-            inside = SKIP if name in SKIPPED else _says(name, m["rest"] or m["rest2"] or "", says)
+            inside = SKIP if name in SKIPPED else _says(name, m["rest"] or m["rest2"] or "", says, m.start() in outer)
             if inside != says:
                 flush()
             stack.append((name, inside))
