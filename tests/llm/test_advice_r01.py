@@ -52,3 +52,18 @@ def test_attributes_of_wrappers_drop_no_article(page, text):
     from veilspan.llm import extraction
 
     assert extraction.extract(page, extraction.grow(extraction.table())) == text
+
+
+def test_copies_do_not_shrink_the_sample_of_a_language(spark):
+    from veilspan.llm import language
+
+    # 40 texts, one of them very often, and 3 texts of another language, each often
+    rows = [("aa", f"alpha{k} beta{k}") for k in range(40)] + [("aa", "alpha0 beta0")] * 400
+    rows += [("bb", f"gamma{k} delta{k}") for k in range(3) for _ in range(300)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    model = dict(language.train(df, sample=40))
+    assert [g for g, _ in language.train(df, sample=40)] == ["bb", "aa"]
+    assert len({w for w in model["aa"].split()}) == 2  # letters alone: alpha, beta
+    many, chosen = language._sampled(df, "lang", "text", 40)
+    assert many == {"aa": 440, "bb": 900}
+    assert {r["__lang"]: r["count"] for r in chosen.groupBy("__lang").count().collect()} == {"aa": 40, "bb": 3}

@@ -110,15 +110,17 @@ def _learn(rows):
 def _sampled(docs: DataFrame, lang: str, text: str, sample: int) -> tuple[dict[str, int], DataFrame]:
     """Rows of each language, and the rows that are learned from."""
     d = docs.select(F.col(lang).alias("__lang"), F.col(text).alias("__text")).where("__lang is not null and __text is not null")
-    counts = d.groupBy("__lang").agg(F.count(F.lit(1)).alias("__n"))
-    many = {r["__lang"]: r["__n"] for r in counts.collect()}  # one row a language
-    if not many:
+    d = d.withColumn("__order", F.xxhash64("__text"))
+    share = F.pmod("__order", F.lit(1 << 40)).cast("double") / float(1 << 40)
+    # equal texts are one, as they are when they are learned from
+    each = d.groupBy("__lang", "__order").agg(F.count(F.lit(1)).alias("__n"))
+    rows = each.groupBy("__lang").agg(F.sum("__n").alias("__n"), F.count(F.lit(1)).alias("__m")).collect()  # one row a language
+    if not rows:
         return {}, d
-    counts = d.sparkSession.createDataFrame(sorted(many.items()), "__lang string, __n long")
+    counts = d.sparkSession.createDataFrame([(r["__lang"], r["__m"]) for r in rows], "__lang string, __m long")
     # a row a language, which the driver has just held: texts are not shuffled to meet it
-    d = d.withColumn("__order", F.xxhash64("__text")).join(F.broadcast(counts), "__lang")
-    share = F.pmod("__order", F.lit(1 << 40)).cast("double") / float(1 << 40)
-    return many, d.where(share * F.col("__n") < sample).select("__lang", "__text", "__order").dropDuplicates(["__lang", "__order"])
+    chosen = d.join(F.broadcast(counts), "__lang").where(share * F.col("__m") < sample).select("__lang", "__text", "__order").dropDuplicates(["__lang", "__order"])
+    return {r["__lang"]: r["__n"] for r in rows}, chosen
 
 
 def _learn_half(rows):
