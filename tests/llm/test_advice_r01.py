@@ -67,3 +67,20 @@ def test_copies_do_not_shrink_the_sample_of_a_language(spark):
     many, chosen = language._sampled(df, "lang", "text", 40)
     assert many == {"aa": 440, "bb": 900}
     assert {r["__lang"]: r["count"] for r in chosen.groupBy("__lang").count().collect()} == {"aa": 40, "bb": 3}
+
+
+def test_toxicity_stage_learns_from_as_many_rows_as_op1(spark, monkeypatch, tmp_path):
+    import corpus_pipeline as cp
+    from veilspan.llm import toxicity
+
+    docs = spark.createDataFrame([(k, f"word{k}", "en", "s", 5) for k in range(80)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    seen, train = [], toxicity.train
+
+    def watched(own, labels, **named):
+        seen.append({r["doc_id"] for r in labels.collect()} - {r["doc_id"] for r in own.collect()})
+        return train(own, labels, **named)
+
+    monkeypatch.setattr(toxicity, "train", watched)
+    cp.reject_toxic(spark, docs, str(tmp_path))
+    assert seen == [set()]  # so the limit on labels is one on the rows that are learned
