@@ -1,9 +1,11 @@
 """Main text of HTML pages by classifying flat text blocks.
 
 A page is cut into blocks of text at block-level tags. Each block has its number
-of words and its link density, those of the blocks before and after it, and what
-its innermost telling container says: article, boilerplate or nothing. A decision
-tree, trained on the small labelled table below, keeps or drops each block.
+of words and its link density, those of the blocks before and after it, and two
+hints: where the tags around it put it, and what the names of the containers
+around it say. A decision tree, trained on the small labelled table below, keeps
+or drops each block. No name decides by itself: long prose among long prose stays
+whatever its container is called, and runs of links go even inside an article.
 
 The tags are read by one regular expression that never backtracks into what it
 has read, so malformed pages cost no more than well-formed ones.
@@ -14,6 +16,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +32,8 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]*+)))?")
 _OWN, _MAIN = re.compile(r"<(?:main|article)(?=[\s/>])", re.I), re.compile(r"<main(?=[\s/>])", re.I)
 _HAS = re.compile(r"(?<![^\s])(?:has|with|without|no)[-_]\S+", re.I)
+#: The next tag of a link.
+_LINK = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 #: Tags that end a block.
@@ -39,8 +44,8 @@ BLOCKS = frozenset(
 RAW = frozenset("script style textarea title iframe noembed xmp".split())
 SKIPPED = frozenset("noscript template svg math select button object canvas audio video datalist map dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Containers that are remembered, with what their tag alone says.
-ARTICLE, BOILER, FIXED, SKIP, PLAIN = "article", "boiler", "fixed", "skip", ""
+#: Containers that are remembered, with where their tag alone puts what is inside.
+ARTICLE, BOILER, FIXED, PLAIN = "article", "boiler", "fixed", ""
 CONTAINERS = {"article": ARTICLE, "main": ARTICLE, "nav": FIXED, "aside": FIXED, "footer": FIXED, "form": FIXED, "menu": FIXED, "header": "header", "dialog": FIXED, "div": PLAIN, "section": PLAIN, "ul": PLAIN, "ol": PLAIN, "table": PLAIN, "td": PLAIN, "p": PLAIN, "span": PLAIN, "details": PLAIN, "blockquote": PLAIN, "body": PLAIN}
 #: Words in class, id and role. Those of FIXED hold for all that is inside.
 WORDS = {w: BOILER for w in "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription paywall".split()}
@@ -49,80 +54,51 @@ WORDS |= {w: ARTICLE for w in "article main content post entry story".split()}
 WORDS |= {"header": "header"}
 #: Words of FIXED that say what an article inside is: no article of the page's own.
 OTHERS = frozenset("comment comments discussion disqus respond reply replies reactions related recommended recommendations trending".split())
-
-#: What was looked at, then 1 to keep. Rows: container (1 article, -1 boilerplate,
-#: 0 nothing said), words, link density, the same two of the block before and of
-#: the block after, kept. Labelled by hand.
+#: Words that leave the one before them the head of a name, as in ad-slot.
+AROUND = frozenset("area bar block body box button buttons col column container group holder icons inner item items left link links list outer panel primary region right row secondary section slot text top bottom unit wrap wrapper".split())
+
+#: Kinds of blocks that the labelled table speaks of: words and link density.
+KINDS = {"none": (0, 0.0), "word": (1, 0.0), "line": (4, 0.0), "short": (12, 0.0), "para": (30, 0.0), "prose": (90, 0.0), "link": (2, 1.0), "phrase": (9, 1.0), "mixed": (30, 0.5)}
+#: Labelled by hand. Place (1 in an article's tag, -1 in a tag for something else, 0
+#: neither), name (1 a word for content, -1 one for something else, 0 neither), the
+#: block, the block before, the block after, 1 to keep. Alternatives have commas
+#: between; a row stands for each choice among them.
 TABLE = """
-1 11 0.0   8 0.0   40 0.0  1
-1 3 0.0    11 0.0  60 0.0  1
-1 2 0.0    40 0.0  35 0.0  1
-1 1 0.0    90 0.0  2 0.0   1
-1 85 0.0   12 0.0  2 0.0   1
-1 250 0.0  85 0.0  0 0.0   1
-1 30 0.2   60 0.0  44 0.1  1
-1 24 0.55  50 0.0  41 0.0  1
-1 6 1.0    70 0.1  90 0.0  1
-1 14 0.0   1 1.0   33 0.0  1
-1 9 0.0    33 0.0  8 0.1   1
-1 40 0.0   0 0.0   0 0.0   1
-1 1 0.0    0 0.0   0 0.0   1
-1 5 0.0    1 1.0   9 0.0   1
--1 1 1.0   0 0.0   1 1.0   0
--1 1 1.0   1 1.0   1 1.0   0
--1 2 1.0   1 1.0   14 0.0  0
--1 9 0.0   1 1.0   11 0.0  0
--1 14 0.0  2 1.0   12 0.0  0
--1 60 0.0  3 1.0   90 0.0  0
--1 35 0.3  80 0.0  5 1.0   0
--1 120 0.0 70 0.0  66 0.0  0
--1 12 0.1  250 0.0 0 0.0   0
--1 3 0.0   40 0.0  20 0.0  0
--1 22 0.0  66 0.0  31 0.0  0
--1 7 0.7   11 0.0  4 0.9   0
--1 80 0.0  5 0.0   0 0.0   0
--1 150 0.0 12 0.0  9 0.0   0
--1 55 0.0  3 1.0   2 1.0   0
--1 20 0.0  0 0.0   0 0.0   0
-0 1 1.0    0 0.0   1 1.0   0
-0 1 1.0    1 1.0   1 1.0   0
-0 2 1.0    3 1.0   2 0.9   0
-0 4 1.0    2 1.0   30 0.0  0
-0 6 0.8    4 1.0   5 1.0   0
-0 12 0.7   6 0.9   40 0.0  0
-0 30 0.6   20 0.8  25 0.7  0
-0 18 0.9   60 0.0  4 1.0   0
-0 3 0.0    1 1.0   2 1.0   0
-0 2 0.0    0 0.0   1 1.0   0
-0 4 0.0    3 1.0   3 0.0   0
-0 5 0.2    6 0.4   0 0.0   0
-0 6 0.0    2 1.0   0 0.0   0
-0 8 0.0    3 0.0   5 0.0   0
-0 7 0.0    0 0.0   4 0.0   0
-0 9 0.35   70 0.0  3 1.0   0
-0 4 0.0    2 0.0   6 0.0   0
-0 8 0.0    1 1.0   60 0.0  1
-0 5 0.0    2 0.0   45 0.0  1
-0 10 0.0   0 0.0   80 0.0  1
-0 4 0.0    60 0.0  70 0.0  1
-0 2 0.0    45 0.0  38 0.0  1
-0 1 0.0    90 0.0  64 0.0  1
-0 3 0.0    30 0.0  33 0.0  1
-0 9 0.0    55 0.0  20 0.0  1
-0 16 0.0   3 1.0   4 1.0   1
-0 20 0.1   9 0.0   40 0.0  1
-0 33 0.0   8 0.0   60 0.0  1
-0 45 0.25  60 0.1  70 0.0  1
-0 60 0.1   1 1.0   3 0.0   1
-0 90 0.0   50 0.0  3 1.0   1
-0 140 0.05 80 0.0  90 0.0  1
-0 25 0.0   0 0.0   0 0.0   1
-0 1 0.0    17 0.0  14 0.0  1
-0 3 0.0    20 0.0  16 0.0  1
-0 2 0.0    12 0.0  18 0.0  1
-0 5 0.1    14 0.0  13 0.0  1
-0 40 0.3   33 0.0  52 0.1  1
+1   0,1     word,line,short,para,prose,mixed  none,word,line,short,para,prose,link,phrase,mixed  none,word,line,short,para,prose,link,phrase,mixed  1
+1   0,1     link,phrase                       none,word,line,short,para,prose,mixed              none,word,line,short,para,prose,mixed              1
+1   0,1     link,phrase                       link,phrase                                        none,word,line,short,para,prose,link,phrase,mixed  0
+1   0,1     link,phrase                       none,word,line,short,para,prose,mixed              link,phrase                                        0
+-1  -1,0,1  word,line,short,para,prose,mixed  none,word,line,short,para,prose,link,phrase,mixed  none,word,line,short,para,prose,link,phrase,mixed  0
+-1  -1,0,1  link,phrase                       none,word,line,short,para,prose,link,phrase,mixed  none,word,line,short,para,prose,link,phrase,mixed  0
+0,1 -1      word,line,short,para,mixed        none,word,line,short,para,prose,link,phrase,mixed  none,word,line,short,para,prose,link,phrase,mixed  0
+0,1 -1      link,phrase                       none,word,line,short,para,prose,link,phrase,mixed  none,word,line,short,para,prose,link,phrase,mixed  0
+0,1 -1      prose                             none,word,line,short,link,phrase,mixed             none,word,line,short,para,prose,link,phrase,mixed  0
+0,1 -1      prose                             para,prose                                         none,word,line,short,link,phrase,mixed             0
+0,1 -1      prose                             para,prose                                         para,prose                                         1
+0   1       word,line,short,para,prose,mixed  none,word,line,short,para,prose,link,phrase,mixed  none,word,line,short,para,prose,link,phrase,mixed  1
+0   1       link,phrase                       none,word,line,short,para,prose,mixed              none,word,line,short,para,prose,mixed              1
+0   1       link,phrase                       link,phrase                                        none,word,line,short,para,prose,link,phrase,mixed  0
+0   1       link,phrase                       none,word,line,short,para,prose,mixed              link,phrase                                        0
+0   0       link,phrase                       none,word,line,short,para,prose,link,phrase,mixed  none,word,line,short,para,prose,link,phrase,mixed  0
+0   0       mixed                             none,word,line,short,link,phrase,mixed             none,word,line,short,para,prose,link,phrase,mixed  0
+0   0       mixed                             para,prose                                         none,word,line,short,link,phrase,mixed             0
+0   0       mixed                             para,prose                                         para,prose                                         1
+0   0       para,prose                        none,word,line,short,para,prose,link,phrase,mixed  none,word,line,short,para,prose,link,phrase,mixed  1
+0   0       short                             short,para,prose                                   none,word,line,short,para,prose,link,phrase,mixed  1
+0   0       short                             none,word,line,link,phrase,mixed                   short,para,prose                                   1
+0   0       short                             none                                               none                                               1
+0   0       short                             word,line,link,phrase,mixed                        none,word,line,link,phrase,mixed                   0
+0   0       short                             none                                               word,line,link,phrase,mixed                        0
+0   0       line                              none,word,line,short,para,prose,link,phrase,mixed  para,prose                                         1
+0   0       line                              short,para,prose                                   short                                              1
+0   0       line                              none,word,line,link,phrase,mixed                   none,word,line,short,link,phrase,mixed             0
+0   0       line                              short,para,prose                                   none,word,line,link,phrase,mixed                   0
+0   0       word                              short,para,prose                                   short,para,prose                                   1
+0   0       word                              none,word,line,link,phrase,mixed                   none,word,line,short,para,prose,link,phrase,mixed  0
+0   0       word                              short,para,prose                                   none,word,line,link,phrase,mixed                   0
 """
+#: Columns of the table that the text gives, not the markup.
+TEXT = range(2, 8)
 
 
 def _gini(kept: np.ndarray) -> float:
@@ -130,7 +106,7 @@ def _gini(kept: np.ndarray) -> float:
     return 2 * p * (1 - p) * len(kept)
 
 
-def grow(rows: np.ndarray, depth: int = 6) -> float | tuple:
+def grow(rows: np.ndarray, depth: int = 16) -> float | tuple:
     """A decision tree: the share kept at a leaf, else (column, at most, then, else)."""
     x, y = rows[:, :-1], rows[:, -1]
     best = (_gini(y) - 1e-9, None)
@@ -153,7 +129,13 @@ def kept(tree: float | tuple, x: tuple) -> bool:
 
 
 def table() -> np.ndarray:
-    return np.array([line.split() for line in TABLE.strip().splitlines()], float)
+    """The labelled table: place, name, words and link density of the block, the same
+    two of the block before and of the block after, kept."""
+    rows = []
+    for line in TABLE.strip().splitlines():
+        *hints, block, before, after, keep = (x.split(",") for x in line.split())
+        rows += [(*map(float, h), *KINDS[b], *KINDS[p], *KINDS[n], float(keep[0])) for h in product(*hints) for b, p, n in product(block, before, after)]
+    return np.array(rows)
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -169,8 +151,17 @@ def _hidden(attributes: dict[str, str]) -> bool:
 
 
 def _words(attributes: dict[str, str]) -> set[str]:
-    """Those of class, id and role; with-sidebar and the like say what else there is."""
-    return {w.lower() for k in ("class", "id", "role") if k in attributes for w in _NAME.findall(_HAS.sub(" ", attributes[k]))}
+    """The heads of the names in class, id and role, and what is before words such as
+    box or left: ad of top-ad and ad-slot, but study of social-study. Names that say
+    what else there is, as with-sidebar, have none."""
+    heads = set()
+    for k in ("class", "id", "role"):
+        for name in _HAS.sub(" ", attributes.get(k, "")).split():
+            words = [w.lower() for w in _NAME.findall(name)]
+            while len(words) > 1 and words[-1] in AROUND:
+                words.pop()
+            heads.update(words[-1:])
+    return heads
 
 
 def _outer(page: str) -> set[int]:
@@ -225,44 +216,54 @@ def _raw_end(page: str, name: str, at: int) -> int:
     return found.start() if found else len(page)
 
 
-def _says(name: str, rest: str, above: str, outer: bool = False) -> str:
-    """What a container says of its content, given what holds around it."""
+def _says(name: str, rest: str, above: tuple[str, str], outer: bool = False) -> tuple[str, str] | None:
+    """(place, name) of a container's content, given those around it; None if hidden."""
+    place, named = above
     own = CONTAINERS.get(name, PLAIN)
     attributes = _attributes(rest) if rest else {}
     if _hidden(attributes):
-        return SKIP
+        return None
     # the body's words are of the whole page
     found = {WORDS.get(w) for w in _words(attributes)} if name != "body" else set()
     if outer:
-        found.discard(FIXED)
-    if above in (FIXED, SKIP):
-        return above
-    if FIXED in found or own == FIXED:
-        return FIXED
-    if BOILER in found:
-        return BOILER
-    if "header" in found or own == "header":  # an article's own header is part of it
-        return above if above == ARTICLE else FIXED
-    if ARTICLE in found or own == ARTICLE:
-        # an outer container's word for content doesn't undo boilerplate; the tags do
-        return ARTICLE if own == ARTICLE or above != BOILER else above
-    return above
-
-
-def blocks(page: str) -> list[tuple[str, int, int, float]]:
-    """(text, container, words, link density) of each block with text, in order."""
-    out, parts, links, anchors = [], [], 0, 0
-    stack: list[tuple[str, str]] = []
-    says = PLAIN
+        found -= {FIXED, BOILER}
+    if place != FIXED:
+        if own == ARTICLE:
+            place = ARTICLE
+        elif own == FIXED or own == "header" and place != ARTICLE:  # an article's own header is part of it
+            place = FIXED
+    if named != FIXED:
+        if FIXED in found or "header" in found and place != ARTICLE:
+            named = FIXED
+        elif BOILER in found:
+            named = BOILER
+        elif own == ARTICLE:  # a container's word for content doesn't undo boilerplate; the tags do
+            named = ARTICLE if ARTICLE in found else PLAIN
+        elif ARTICLE in found and named != BOILER:
+            named = ARTICLE
+    return place, named
+
+
+_HINT = {ARTICLE: 1, PLAIN: 0, FIXED: -1, BOILER: -1}
+
+
+def blocks(page: str) -> list[tuple[str, int, int, int, float]]:
+    """(text, place, name, words, link density) of each block with text, in order."""
+    out, parts, links = [], [], 0
+    anchor = None  # True in a link that is closed, False in one that isn't and so ends with its block
+    stack: list[tuple[str, tuple[str, str] | None]] = []
+    says: tuple[str, str] | None = (PLAIN, PLAIN)
     outer = _outer(page)
 
     def flush() -> None:
-        nonlocal parts, links
+        nonlocal parts, links, anchor
         if parts:
             words = "".join(parts).split()
-            if words and says != SKIP:
-                out.append((" ".join(words), {ARTICLE: 1, PLAIN: 0}.get(says, -1), len(words), min(1.0, links / len(words))))
+            if words and says:
+                out.append((" ".join(words), _HINT[says[0]], _HINT[says[1]], len(words), min(1.0, links / len(words))))
             parts, links = [], 0
+        if anchor is False:
+            anchor = None
 
     def add(a: int, b: int) -> None:
         nonlocal links
@@ -271,7 +272,7 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
             if "&" in text:
                 text = entities.unescape(text)
             parts.append(text)
-            if anchors:
+            if anchor is not None:
                 links += len(text.split())
 
     at, n = 0, len(page)
@@ -291,21 +292,22 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
         if name == "br":
             parts.append(" ")
         elif name == "a":
-            anchors = 0 if closing else 1
+            after = None if closing else _LINK.search(page, at)
+            anchor = None if closing else bool(after and after[1])
         elif closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     flush()
                     del stack[k:]
-                    says = stack[-1][1] if stack else PLAIN
+                    says = stack[-1][1] if stack else (PLAIN, PLAIN)
                     break
         elif name in RAW:
             at = _raw_end(page, name, at)
         elif name in SKIPPED or name in CONTAINERS:
             if name == "p" and stack and stack[-1][0] == "p":  # a paragraph ends the one before
                 stack.pop()
-                says = stack[-1][1] if stack else PLAIN
-            inside = SKIP if name in SKIPPED else _says(name, m["rest"] or m["rest2"] or "", says, m.start() in outer)
+                says = stack[-1][1] if stack else (PLAIN, PLAIN)
+            inside = None if name in SKIPPED or says is None else _says(name, m["rest"] or m["rest2"] or "", says, m.start() in outer)
             if inside != says:
                 flush()
             stack.append((name, inside))
@@ -314,12 +316,16 @@ def blocks(page: str) -> list[tuple[str, int, int, float]]:
     return out
 
 
+def features(found: list[tuple[str, int, int, int, float]]) -> list[tuple]:
+    """The table's columns for each block; beyond the ends of a page are no words."""
+    ends = [("", 0, 0, 0, 0.0)]
+    return [(*b[1:], *a[3:], *c[3:]) for a, b, c in zip(ends + found[:-1], found, found[1:] + ends, strict=True)] if found else []
+
+
 def extract(page: str | None, tree: float | tuple) -> str:
     """The kept blocks, joined by two line ends; empty for null."""
     found = blocks(page or "")
-    ends = [("", 0, 0, 0.0)]
-    rows = zip(ends + found[:-1], found, found[1:] + ends, strict=True) if found else ()
-    return "\n\n".join(b[0] for a, b, c in rows if kept(tree, (*b[1:], *a[2:], *c[2:])))
+    return "\n\n".join(b[0] for b, x in zip(found, features(found), strict=True) if kept(tree, x))
 
 
 def extractor():
