@@ -1,15 +1,17 @@
 """Mixing sources to target weights by Pareto order sampling, natively.
 
-Every source gets a target number of words. A document's expected copies are
-target / source size; the whole part is certain, the rest is its inclusion
+Every source gets a target number of words. A document's expected copies are in
+proportion to its weight (equal, unless a column of weights is named), such that
+they come to the target; the whole part is certain, the rest is its inclusion
 probability p. Documents are ranked by random odds over inclusion odds,
 (u / (1 - u)) / (p / (1 - p)), and the sample is the prefix of that order whose
 words come nearest to what the certain copies leave of the target. u is a hash
 of the document's id, so reruns agree.
 
 The prefix is found without sorting a source in one task: words are summed per
-(source, rank bucket), the running sum over at most BUCKETS buckets names the
-one bucket where the prefix ends, and only that bucket's rows are ordered.
+(source, bucket of the order), running sums over COARSE coarse and then COARSE fine
+buckets name the one bucket where the prefix ends, and only that bucket's rows are
+ordered, equal ones counted first.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ WEIGHTS = (5, 2, 1)
 #: The mix's size as a share of all words, and the most copies of a document.
 SHARE_PERCENT = 150
 MOST_COPIES = 2
-#: Buckets of the rank order in each source.
-BUCKETS = 1 << 16
+#: Coarse buckets of the rank order in each source, and fine ones in each of them.
+COARSE = 1 << 8
+BUCKETS = COARSE * COARSE
 SEED = "mix-1"
 
 
@@ -74,44 +77,117 @@ def _lcm(values: Sequence[int]) -> int:
     return math.lcm(*values)
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST_COPIES, seed: str = SEED) -> DataFrame:
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
+def _passed(sums: DataFrame, goal: DataFrame, bucket: str) -> DataFrame:
+    """(source, bucket, s) and (source, before, need): for each source the first bucket
+    whose running sum, from `before`, passes the need, and the sum before it."""
+    running = Window.partitionBy("source").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    g = goal.select(F.col("source").alias("__src"), F.col("before").alias("__from"), "need")
+    cuts = sums.join(g, _same("source", "__src")).withColumn("before", F.col("__from") + F.coalesce(F.sum("s").over(running), F.lit(0)))
+    over = cuts.where((F.col("before") <= F.col("need")) & (F.col("before") + F.col("s") > F.col("need")))
+    return over.groupBy("source").agg(F.min(F.struct(F.col(bucket).alias("bucket"), "before")).alias("m"), F.first("need").alias("need")).select("source", "m.bucket", "m.before", "need")
+
+
+def _levels(d: DataFrame, goal: DataFrame, most: int) -> DataFrame:
+    """(source, target) and documents (source, size, __w) to (source, __level): expected
+    copies are weight * level, `most` at most, and come to the target if they can."""
+    levels = goal.select("source", "target", F.lit(0.0).alias("__level"))
+    while True:
+        near = levels.select(F.col("source").alias("__src"), F.col("target").alias("__t"), "__level")
+        rows = d.join(near, _same("source", "__src"))
+        full = F.col("__w") * F.col("__level") >= most
+        sums = rows.groupBy("source").agg(F.first("__t").alias("target"), F.first("__level").alias("__old"), F.sum(F.when(full, F.col("size")).otherwise(0)).alias("f"), F.sum(F.when(full, 0.0).otherwise(F.col("__w") * F.col("size"))).alias("m"))
+        new = F.when(F.col("m") > 0, F.greatest(F.col("__old"), (F.col("target") - most * F.col("f")) / F.col("m"))).otherwise(F.col("__old"))
+        found = stored(sums.select("source", "target", "__old", new.alias("__level")), "mix-levels")
+        levels = found.drop("__old")
+        # each round fills more documents to `most`, or ends
+        if found.where(F.col("__level") > F.col("__old") * (1 + 1e-12)).isEmpty():
+            return levels
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST_COPIES, seed: str = SEED, odds: str | None = None) -> DataFrame:
     """(doc_id, source, size, ...) to the same with source_size, target and copies.
 
+    `odds` names a column of weights: a document's expected copies are in proportion
+    to it in its source, up to `most`; null, negative and non-finite weights are 0,
+    and a document of weight 0 is never taken. Without it all weigh the same.
+
     Rows with the same id in a source share their random number and are told
-    apart by size; wholly equal rows are interchangeable. Null ids count as the
-    empty id, null sources are a source of their own, an empty table gives an
-    empty table. Other columns are carried along; put those whose names could clash
-    into one struct. Documents without words get the certain copies alone.
-    Sums over a source are taken per (source, bucket) first, so a source with a
-    third of all rows is no hot key.
+    apart by size; rows with equal id, source and size are interchangeable. Null ids
+    count as the empty id, null sources are a source of their own, an empty table
+    gives an empty table. Other columns are carried along; put those whose names could
+    clash into one struct. Documents without words get the certain copies alone.
+    Sums over a source are taken per (source, bucket) first, and equal rows are
+    counted, so neither a source with a third of all rows nor an often repeated id is
+    a hot key.
     """
     carried = [c for c in docs.columns if c not in ("doc_id", "source", "size")]
     d = docs.withColumn("size", F.col("size").cast("long")).withColumn("__u", uniform(F.col("doc_id"), seed))
-    d = d.withColumn("__b", F.floor(F.col("__u") * BUCKETS).cast("int"))
-    sums = stored(d.groupBy("source", "__b").agg(F.sum("size").alias("__s")), "mix-sums")
-    goal = stored(targets(sums.groupBy("source").agg(F.sum("__s").alias("source_size")), weights, share_percent, most), "mix-targets")
-    goal = goal.withColumn("__copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    goal = goal.withColumn("__p", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") - F.col("__copies")).otherwise(0.0))
-    goal = goal.withColumn("__need", F.col("target") - F.col("__copies") * F.col("source_size"))
-    # All rows of a source share p, so its Pareto order is the order of u, and
-    # buckets of u are buckets of the order.
-    running = Window.partitionBy("source").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = sums.withColumn("__before", F.coalesce(F.sum("__s").over(running), F.lit(0)))
-    edge = cuts.join(goal.select(F.col("source").alias("__src"), "__need"), F.col("source").eqNullSafe(F.col("__src")))
-    # the bucket where the running sum passes the need
-    edge = edge.where((F.col("__before") <= F.col("__need")) & (F.col("__before") + F.col("__s") > F.col("__need"))).groupBy("source").agg(F.min(F.struct("__b", "__before")).alias("__e"))
-    goal = stored(goal.join(edge.select(F.col("source").alias("__src"), F.col("__e.__b").alias("__edge"), F.col("__e.__before").alias("__before")), F.col("source").eqNullSafe(F.col("__src")), "left").drop("__src"), "mix-goal")
-    d = d.join(goal.withColumnRenamed("source", "__src"), F.col("source").eqNullSafe(F.col("__src"))).drop("__src")
-    odds = F.when(F.col("__p") > 0, (F.col("__u") / (1 - F.col("__u"))) / (F.col("__p") / (1 - F.col("__p"))))
-    within = Window.partitionBy("source", "__b").orderBy("__odds", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    at_edge = d.where(F.col("__b") == F.col("__edge")).withColumn("__odds", odds)
-    at_edge = at_edge.withColumn("__sum", F.col("__before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    # in, if that brings the sum nearer to the need
-    take = (F.col("__need") > 0) & (F.col("__sum") + F.col("size") / 2.0 <= F.col("__need"))
-    elsewhere = d.where(~F.col("__b").eqNullSafe(F.col("__edge")))
-    below = (F.col("__need") > 0) & (F.col("__b") < F.coalesce(F.col("__edge"), F.lit(BUCKETS)))
-    both = at_edge.withColumn("__in", take).drop("__odds", "__sum").unionByName(elsewhere.withColumn("__in", below))
-    return both.select("doc_id", "source", "size", *carried, "source_size", "target", (F.col("__copies") + F.col("__in").cast("long")).alias("copies"))
+    goal = stored(targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share_percent, most), "mix-targets")
+    if odds is None:
+        expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    else:
+        w = F.col(odds).cast("double")
+        d = d.withColumn("__w", F.when((w > 0) & (w < float("inf")), w).otherwise(0.0))
+        level = _levels(d.select("source", "size", "__w"), goal, most).select(F.col("source").alias("__src"), "__level")
+        goal = goal.join(level, _same("source", "__src")).drop("__src")
+        expected = F.least(F.col("__w") * F.col("__level"), F.lit(float(most)))
+
+    def ranked(rows: DataFrame, by: DataFrame) -> DataFrame:
+        """Rows with what their source has, certain copies, p, and place in the order."""
+        rows = rows.join(by.withColumnRenamed("source", "__src"), _same("source", "__src")).drop("__src")
+        rows = rows.withColumn("__e", expected).withColumn("__copies", F.floor("__e")).withColumn("__p", F.col("__e") - F.col("__copies"))
+        # o / (1 + o) for the odds o = (u / (1 - u)) / (p / (1 - p)): the same order, within 0 and 1
+        high, low = F.col("__u") * (1 - F.col("__p")), F.col("__p") * (1 - F.col("__u"))
+        rows = rows.withColumn("__t", F.when(F.col("__p") > 0, high / (high + low)))
+        return rows.withColumn("__b", F.least(F.floor(F.col("__t") * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+
+    sums = ranked(d, goal).groupBy("source", "__b").agg(F.sum("size").alias("s"), F.sum(F.col("__copies") * F.col("size")).alias("c"))
+    sums = stored(sums.withColumn("k", F.floor(F.col("__b") / COARSE)), "mix-sums")
+    coarse = stored(sums.groupBy("source", "k").agg(F.sum("s").alias("s"), F.sum("c").alias("c")), "mix-coarse")
+    certain = coarse.groupBy(F.col("source").alias("__src")).agg(F.sum("c").alias("__c"))
+    goal = stored(goal.join(certain, _same("source", "__src")).withColumn("__need", F.col("target") - F.col("__c")).drop("__src", "__c"), "mix-needs")
+    # where the running sum passes the need: the coarse bucket, the fine one, the row
+    need = goal.where(F.col("__need") > 0).select("source", F.lit(0).cast("long").alias("before"), F.col("__need").alias("need"))
+    at = stored(_passed(coarse.where("k is not null"), need, "k"), "mix-at")
+    inside = sums.join(at.select(F.col("source").alias("__src"), F.col("bucket").alias("__k")), _same("source", "__src") & (F.col("k") == F.col("__k")), "left_semi")
+    edge = _passed(inside, at, "__b").select("source", F.col("bucket").alias("__edge"), F.col("before").alias("__before"))
+    goal = stored(goal.join(edge.withColumnRenamed("source", "__src"), _same("source", "__src"), "left").drop("__src"), "mix-edges")
+    key = F.struct("__t", "__u", "doc_id", "size")
+    last = ranked(d.select("doc_id", "source", "size", *d.columns[len(docs.columns) :]), goal).where(F.col("__b") == F.col("__edge"))
+    groups = last.groupBy("source", key.alias("__key")).agg(F.count(F.lit(1)).alias("m"), F.first("__need").alias("need"), F.first("__before").alias("before"))
+    order = Window.partitionBy("source").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.col("__key.size")
+    groups = groups.withColumn("sum", F.col("before") + F.coalesce(F.sum(F.col("m") * size).over(order), F.lit(0)))
+    # a row is in, if that brings the sum nearer to the need; of equal rows the first so many
+    fits = F.floor((F.col("need") - F.col("sum")) / size - 0.5) + 1
+    taken = F.when(size > 0, F.least(F.greatest(fits, F.lit(0)), F.col("m"))).when(F.col("sum") <= F.col("need"), F.col("m")).otherwise(0)
+    ends = groups.withColumn("n", taken).where("n > 0").groupBy("source").agg(F.max(F.struct("__key", "n", "m")).alias("__z"))
+    goal = stored(goal.join(ends.withColumnRenamed("source", "__src"), _same("source", "__src"), "left").drop("__src"), "mix-goal")
+    rows = ranked(d, goal).withColumn("__key", key)
+    cut = F.col("__z.__key")
+    below = F.col("__t").isNotNull() & (F.col("__need") > 0) & (F.col("__b") < F.coalesce(F.col("__edge"), F.lit(BUCKETS)))
+    at_edge = F.coalesce((F.col("__b") == F.col("__edge")) & (F.col("__key") <= cut), F.lit(False))
+    split = F.coalesce((F.col("__key") == cut) & (F.col("__z.n") < F.col("__z.m")), F.lit(False))
+    marked = rows.withColumn("__in", F.coalesce(below, F.lit(False)) | at_edge)
+    if not goal.where("__z.n < __z.m").isEmpty():
+        marked = marked.where(~split).unionByName(_first(rows.where(split)))
+    return marked.select("doc_id", "source", "size", *carried, "source_size", "target", (F.col("__copies") + F.col("__in").cast("long")).alias("copies"))
+
+
+def _first(rows: DataFrame) -> DataFrame:
+    """Equal rows of each source with __in for the first __z.n of them, numbered in
+    each part of the written table and by the counts of the parts before."""
+    rows = stored(rows.withColumn("__part", F.spark_partition_id()), "mix-equal")
+    before = Window.partitionBy("source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("source", "__part").agg(F.count(F.lit(1)).alias("n")).withColumn("__base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    base = base.select(F.col("source").alias("__src"), F.col("__part").alias("__q"), "__base")
+    number = F.row_number().over(Window.partitionBy("source", "__part").orderBy("__u"))
+    numbered = rows.withColumn("__n", number).join(base, _same("source", "__src") & (F.col("__part") == F.col("__q")))
+    return numbered.withColumn("__in", F.col("__base") + F.col("__n") <= F.col("__z.n")).drop("__part", "__q", "__n", "__base", "__src")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
