@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import WORD, read, stored
+from veilspan.llm.common import read, stored
 
 #: Weights that the sources take in turn, by code point of their names, null last.
 WEIGHTS = (5, 2, 1)
@@ -36,7 +36,8 @@ SEED = "mix-1"
 
 def words(text: Column) -> Column:
     """Number of words of the whole text; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    # \S is WORD's class in Java; possessive, as nothing is ever given back
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S++")), F.lit(0)).cast("long")
 
 
 def uniform(key: Column, seed: str = SEED) -> Column:
@@ -81,14 +82,15 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def _passed(sums: DataFrame, goal: DataFrame, bucket: str) -> DataFrame:
-    """(source, bucket, s) and (source, before, need): for each source the first bucket
-    whose running sum, from `before`, passes the need, and the sum before it."""
+def _passed(sums: DataFrame, bucket: str) -> DataFrame:
+    """(source, bucket, s, start, need) to (source, need, bucket, before): the first
+    bucket whose running sum, from `start`, passes the need, and the sum before it;
+    null if none does."""
     running = Window.partitionBy("source").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    g = goal.select(F.col("source").alias("__src"), F.col("before").alias("__from"), "need")
-    cuts = sums.join(g, _same("source", "__src")).withColumn("before", F.col("__from") + F.coalesce(F.sum("s").over(running), F.lit(0)))
-    over = cuts.where((F.col("before") <= F.col("need")) & (F.col("before") + F.col("s") > F.col("need")))
-    return over.groupBy("source").agg(F.min(F.struct(F.col(bucket).alias("bucket"), "before")).alias("m"), F.first("need").alias("need")).select("source", "m.bucket", "m.before", "need")
+    cuts = sums.withColumn("before", F.col("start") + F.coalesce(F.sum("s").over(running), F.lit(0)))
+    over = (F.col("before") <= F.col("need")) & (F.col("before") + F.col("s") > F.col("need"))
+    first = F.min(F.when(over, F.struct(F.col(bucket).alias("bucket"), "before"))).alias("m")
+    return cuts.groupBy("source").agg(F.first("need").alias("need"), first).select("source", "need", "m.bucket", "m.before")
 
 
 def _levels(d: DataFrame, goal: DataFrame, most: int) -> DataFrame:
@@ -147,15 +149,17 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share_percent: int =
 
     sums = ranked(d, goal).groupBy("source", "__b").agg(F.sum("size").alias("s"), F.sum(F.col("__copies") * F.col("size")).alias("c"))
     sums = stored(sums.withColumn("k", F.floor(F.col("__b") / COARSE)), "mix-sums")
-    coarse = stored(sums.groupBy("source", "k").agg(F.sum("s").alias("s"), F.sum("c").alias("c")), "mix-coarse")
-    certain = coarse.groupBy(F.col("source").alias("__src")).agg(F.sum("c").alias("__c"))
-    goal = stored(goal.join(certain, _same("source", "__src")).withColumn("__need", F.col("target") - F.col("__c")).drop("__src", "__c"), "mix-needs")
     # where the running sum passes the need: the coarse bucket, the fine one, the row
-    need = goal.where(F.col("__need") > 0).select("source", F.lit(0).cast("long").alias("before"), F.col("__need").alias("need"))
-    at = stored(_passed(coarse.where("k is not null"), need, "k"), "mix-at")
-    inside = sums.join(at.select(F.col("source").alias("__src"), F.col("bucket").alias("__k")), _same("source", "__src") & (F.col("k") == F.col("__k")), "left_semi")
-    edge = _passed(inside, at, "__b").select("source", F.col("bucket").alias("__edge"), F.col("before").alias("__before"))
-    goal = stored(goal.join(edge.withColumnRenamed("source", "__src"), _same("source", "__src"), "left").drop("__src"), "mix-edges")
+    coarse = sums.groupBy("source", "k").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    coarse = coarse.join(goal.select(F.col("source").alias("__src"), "target"), _same("source", "__src"))
+    needs = coarse.withColumn("need", F.col("target") - F.sum("c").over(Window.partitionBy("source"))).withColumn("start", F.lit(0).cast("long"))
+    # rows without a part that is left to chance have no bucket
+    at = _passed(needs.withColumn("s", F.when(F.col("k").isNotNull() & (F.col("need") > 0), F.col("s")).otherwise(0)), "k")
+    at = at.select(F.col("source").alias("__src"), "need", F.col("bucket").alias("__k"), F.col("before").alias("start"))
+    fine = sums.join(at, _same("source", "__src") & (F.col("k") == F.col("__k")))
+    edge = _passed(fine, "__b").select(F.col("source").alias("__s"), F.col("bucket").alias("__edge"), F.col("before").alias("__before"))
+    goal = goal.join(at.select("__src", F.col("need").alias("__need")), _same("source", "__src"))
+    goal = stored(goal.join(edge, _same("source", "__s"), "left").drop("__src", "__s"), "mix-edges")
     key = F.struct("__t", "__u", "doc_id", "size")
     last = ranked(d.select("doc_id", "source", "size", *d.columns[len(docs.columns) :]), goal).where(F.col("__b") == F.col("__edge"))
     groups = last.groupBy("source", key.alias("__key")).agg(F.count(F.lit(1)).alias("m"), F.first("__need").alias("need"), F.first("__before").alias("before"))
