@@ -1,13 +1,14 @@
 """Toxicity by FTRL-proximal logistic regression over hashed n-grams.
 
-Features are the words, their stems (first STEMS bytes), word pairs, and pairs
-with one word between, of the whole text, hashed into 2^BITS places, each counted
-once. Follow-the-regularised-leader
-keeps a learning rate for each coordinate, and its L1 term leaves most weights at
-zero, so the model that goes to the workers is a short sparse vector.
+Features are the words, their stems (first bytes, as many as STEMS has), word pairs,
+and pairs with one word between, of the whole text, hashed into 2^BITS places, each
+counted once. Follow-the-regularised-leader keeps a learning rate for each coordinate,
+and its L1 term leaves most weights at zero, so the model that goes to the workers is
+a short sparse vector.
 
 The model is fitted on at most TRAIN labelled rows, those whose hashed ids are
-least; everything else covers all documents.
+least; everything else covers all documents. The settings were chosen by
+cross-validation among rows that op1 may learn from.
 """
 
 from __future__ import annotations
@@ -22,14 +23,25 @@ from pyspark.sql import functions as F
 
 from veilspan.llm.common import crc_of_id, read
 
-BITS = 18
-STEMS = (4, 5)
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 1.0
+BITS = 20
+STEMS = (3, 4, 5, 6, 7, 8)
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 10.0, 1.0
 EPOCHS = 5
 #: Most labelled rows that the model is fitted on.
 TRAIN = 12_000
 #: A score from here on predicts the label 1.
 THRESHOLD = 0.3
+#: Words whose places a process remembers at most.
+MEMO = 200_000
+
+_places: dict[bytes, bytes] = {}
+
+
+def _of_word(word: bytes) -> bytes:
+    """Places of a word and its stems."""
+    found = [zlib.crc32(word) * 0xFF51AFD7ED558CCD]
+    found += [zlib.crc32(word[:size]) * (0xD6E8FEB86659FD93 ^ size) for size in STEMS if len(word) > size]
+    return np.array([(x & 0xFFFFFFFFFFFFFFFF) >> (64 - BITS) for x in found], np.int64).tobytes()
 
 
 def features(text: str | None) -> np.ndarray:
@@ -42,11 +54,13 @@ def features(text: str | None) -> np.ndarray:
     h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
     pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
     skips = (h[:-2] * np.uint64(0x165667B19E3779F9)) ^ (h[2:] * np.uint64(0x27D4EB2F165667C5))
-    every = [h * np.uint64(0xFF51AFD7ED558CCD), pairs, skips]
-    for size in STEMS:
-        stems = [zlib.crc32(w[:size]) for w in words if len(w) > size]
-        every.append(np.array(stems, np.uint64) * np.uint64(0xD6E8FEB86659FD93 ^ size))
-    return (np.concatenate(every) >> np.uint64(64 - BITS)).astype(np.int64)
+    once = set(words)
+    if len(_places) > MEMO:
+        _places.clear()
+    for word in once.difference(_places):
+        _places[word] = _of_word(word)
+    own = np.frombuffer(b"".join(map(_places.__getitem__, once)), np.int64)
+    return np.concatenate([own, (np.concatenate([pairs, skips]) >> np.uint64(64 - BITS)).astype(np.int64)])
 
 
 def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -79,14 +93,21 @@ def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.append(places, -1)), pa.array(np.append(weights, bias))], ["place", "weight"])
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = TRAIN) -> tuple[np.ndarray, np.ndarray, float]:
-    """The model of the labelled rows. Rows with a null id or label take no part;
-    without any the model is empty, and every score is 0.5."""
-    chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max(label).cast("int").alias("__label"))
-    chosen = chosen.withColumn("__order", F.xxhash64(F.col("__key").cast("string"))).orderBy("__order", "__key").limit(most)
+def learned(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = TRAIN) -> DataFrame:
+    """(__order, __text, __label) of the labelled documents that are learned from:
+    `most`, or all if there are fewer. Rows with a null id or label take no part. A
+    repeated id has its greatest label and its least text."""
+    named = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max(label).cast("int").alias("__label"))
+    named = named.join(docs.select(F.col(key).alias("__key")).distinct(), "__key", "left_semi")
+    chosen = named.withColumn("__order", F.xxhash64(F.col("__key").cast("string"))).orderBy("__order", "__key").limit(most)
     # `most` short rows at most are broadcast
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__key")
-    rows = rows.dropDuplicates(["__key"]).select("__order", "__text", "__label")
+    return rows.groupBy("__key", "__order", "__label").agg(F.min("__text").alias("__text")).select("__order", "__text", "__label")
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = TRAIN) -> tuple[np.ndarray, np.ndarray, float]:
+    """The model of the labelled rows; without any it is empty, and every score is 0.5."""
+    rows = learned(docs, labels, key, text, label, most)
     model = rows.repartition(1).mapInArrow(_fit_rows, "place long, weight double").collect()
     places = np.array([r["place"] for r in model if r["place"] >= 0], np.int64)
     weights = np.array([r["weight"] for r in model if r["place"] >= 0])
