@@ -25,12 +25,12 @@ SAMPLE = 1000
 #: Bytes of a dictionary, and of the pieces that are compressed with it.
 DICTIONARY = 65_536
 PIECE = 1024
-#: Shorter pieces get so many spaces before them: zstandard stores a block as it
-#: is unless it shrinks, and the spaces always do.
-SHORT, SPACES = 256, 64
-#: Without bounds (see `bounds`), a longer text (in bytes of letters) whose margin
-#: is below this is rejected by `accepted`.
-NARROW, TELLING = 0.002, 200
+#: Most languages that are learned; more are an error, as every worker holds all
+#: dictionaries.
+LANGUAGES = 1000
+#: Every piece gets so many spaces after it: zstandard looks for no match in a block's
+#: last bytes, and stores a block as it is unless it shrinks, as the spaces always do.
+SPACES = 64
 #: Least bytes of letters of each length class. The bound of a class is SLACK times
 #: the QUANTILE of its margins, of FEW margins at least.
 CLASSES = (1, 25, 50, 100, 200, 400, 1000)
@@ -73,8 +73,7 @@ def classify(data: bytes, compressors: list[tuple[str, object]]) -> tuple[str, f
     """(language, margin) of a text's letters; ties go to the earlier language."""
     if not data.strip() or not compressors:
         return UNKNOWN, 0.0
-    pieces = [data[k : k + PIECE] for k in range(0, len(data), PIECE)]
-    pieces = [b" " * SPACES + p if len(p) < SHORT else p for p in pieces]
+    pieces = [data[k : k + PIECE] + b" " * SPACES for k in range(0, len(data), PIECE)]
     sizes = [sum(len(c.compress(p)) for p in pieces) for _, c in compressors]
     best = min(range(len(sizes)), key=sizes.__getitem__)
     if len(sizes) == 1:
@@ -114,9 +113,11 @@ def _sampled(docs: DataFrame, lang: str, text: str, sample: int) -> tuple[dict[s
     share = F.pmod("__order", F.lit(1 << 40)).cast("double") / float(1 << 40)
     # equal texts are one, as they are when they are learned from
     each = d.groupBy("__lang", "__order").agg(F.count(F.lit(1)).alias("__n"))
-    rows = each.groupBy("__lang").agg(F.sum("__n").alias("__n"), F.count(F.lit(1)).alias("__m")).collect()  # one row a language
+    rows = each.groupBy("__lang").agg(F.sum("__n").alias("__n"), F.count(F.lit(1)).alias("__m")).limit(LANGUAGES + 1).collect()  # one row a language
     if not rows:
         return {}, d
+    if len(rows) > LANGUAGES:
+        raise ValueError(f"{len(rows)} languages, but {LANGUAGES} at most are learned")
     counts = d.sparkSession.createDataFrame([(r["__lang"], r["__m"]) for r in rows], "__lang string, __m long")
     # a row a language, which the driver has just held: texts are not shuffled to meet it
     chosen = d.join(F.broadcast(counts), "__lang").where(share * F.col("__m") < sample).select("__lang", "__text", "__order").dropDuplicates(["__lang", "__order"])
@@ -172,25 +173,35 @@ def bounds(docs: DataFrame, lang: str = "lang", text: str = "text", sample: int
     return {(r["lang"], r["class"]): SLACK * r["low"] for r in found.where(F.col("n") >= FEW).collect()}
 
 
+def least_margin(narrow: dict[tuple[str, int], float], lang: str, size: int) -> float:
+    """The bound of a language and length class; where there is none, that of the
+    language's nearest class, else of any language's nearest, else 0."""
+    own = length_class(size)
+    known = [(abs(c - own), c, v) for (g, c), v in narrow.items() if g == lang] or [(abs(c - own), c, v) for (_, c), v in narrow.items()]
+    return min(known)[2] if known else 0.0
+
+
 def classifier(spark: SparkSession, model: list[tuple[str, bytes]], narrow: dict[tuple[str, int], float] | None = None):
     """A function of a text column: struct (lang, margin, size of the letters, least
-    margin of a text of this language and length as `narrow` has it)."""
-    narrow = narrow or {}
-    # one dictionary of DICTIONARY bytes a language
-    held = spark.sparkContext.broadcast(model)
+    margin of a text of this language and length as `narrow` has it; 0 without)."""
+    # one dictionary of DICTIONARY bytes a language, LANGUAGES at most
+    held = spark.sparkContext.broadcast((model, narrow or {}))
 
     def run(column):
         import pandas as pd
 
-        memo, key = worker_memo(), ("languages", hash(tuple(held.value)))
+        model, narrow = held.value
+        memo, key = worker_memo(), ("languages", hash(tuple(model)))
         if key not in memo:
-            memo[key] = [(lang, compressor(content)) for lang, content in held.value]
-        out = []
+            memo[key] = [(lang, compressor(content)) for lang, content in model]
+        out, least = [], {}
         for text in column:
             data = letters(text)
             lang, margin = classify(data, memo[key])
-            least = narrow.get((lang, length_class(len(data))), NARROW if len(data) >= TELLING else 0.0)
-            out.append((lang, margin, len(data), least))
+            known = lang, length_class(len(data))
+            if known not in least:
+                least[known] = least_margin(narrow, lang, len(data))
+            out.append((lang, margin, len(data), least[known]))
         return pd.DataFrame(out, columns=["lang", "margin", "size", "least"])
 
     udf = F.pandas_udf(run, "lang string, margin double, size long, least double")
