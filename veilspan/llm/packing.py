@@ -5,7 +5,8 @@ for the fewest configurations that cover all pieces. It is solved by
 multiplicative weights: each length has a price; knapsack dynamic programming
 finds the dearest configuration; that gets a step, and the prices of what it
 covers fall. The fractional solution is rounded to whole configurations that
-the remaining pieces can fill, and what is left is packed best-fit decreasing.
+the remaining pieces can fill; what is left gets a program of its own, and so on while
+that helps, and the few pieces left in the end are packed best-fit decreasing.
 
 All of that works on the histogram, at most CAPACITY rows however large the
 corpus is. Pieces are numbered per length (in each task, plus the counts of the
@@ -31,32 +32,46 @@ from veilspan.llm.pretokens import VOCABULARY, vocabulary
 CAPACITY = 2048
 #: The id that ends each document.
 END = 0
-#: Multiplicative-weights steps, and by how much a covered length's price falls.
-STEPS = 1200
+#: Multiplicative-weights steps of a program, the configurations priced in each (those
+#: worth nearly as much as the dearest), and by how much a covered length's price falls.
+STEPS = 100
+PRICED, NEARLY = 8, 0.01
 RATE = 0.15
+#: Most programs, one on what another leaves, and tokens that a configuration may waste.
+PROGRAMS = 12
+WASTE = 8
+#: Most entries of the plan, of 48 bytes each, that go to the workers.
+ENTRIES = 2_000_000
 #: Most characters that a task tokenizes at once.
 BATCH_CHARS = 2_000_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, chunk long, number long"
 
 
-def _dearest(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> list[int]:
-    """Knapsack with repeats, by dynamic programming over the capacity."""
+def _dearest(lengths: np.ndarray, prices: np.ndarray, capacity: int, most: int = 1) -> list[list[int]]:
+    """Knapsack with repeats, by dynamic programming over the capacity: the dearest
+    configurations that begin with `most` different lengths."""
     best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
     for w in range(1, capacity + 1):
         best[w] = best[w - 1]
         if k := fits[w]:
             values = best[w - lengths[:k]] + prices[:k]
             if values[m := values.argmax()] > best[w]:
                 best[w], pick[w] = values[m], m
-    out, w = [], capacity
-    while w > 0:
-        if pick[w] < 0:
-            w -= 1
-        else:
-            out.append(int(pick[w]))
-            w -= int(lengths[pick[w]])
+    every = prices + best[capacity - lengths]
+    out = []
+    for first in np.argsort(-every, kind="stable")[:most].tolist():
+        if out and every[first] < every.max() * (1 - NEARLY):
+            break
+        config, w = [first], capacity - int(lengths[first])
+        while w > 0:
+            if pick[w] < 0:
+                w -= 1
+            else:
+                config.append(int(pick[w]))
+                w -= int(lengths[pick[w]])
+        out.append(config)
     return out
 
 
@@ -65,40 +80,49 @@ def fractional(histogram: dict[int, int], capacity: int = CAPACITY, steps: int =
     lengths = np.array(sorted(histogram))
     need = np.array([histogram[x] for x in lengths], float)
     weights, uses = np.ones(len(lengths)), defaultdict(float)
-    for _ in range(steps):
-        config = _dearest(lengths, lengths / capacity * weights, capacity)
-        if not config:
-            break
-        taken = Counter(config)
-        items = np.array(list(taken))
-        ratio = np.array(list(taken.values())) / need[items]
-        step = 1 / ratio.max()
-        uses[tuple(sorted((int(lengths[i]) for i in config), reverse=True))] += step
-        weights[items] *= np.exp(-rate * step * ratio)
+    for _ in range(steps if len(lengths) else 0):
+        configs = {tuple(sorted(c)) for c in _dearest(lengths, lengths / capacity * weights, capacity, PRICED)}
+        for config in sorted(configs):
+            items, times = np.unique(config, return_counts=True)
+            ratio = times / need[items]
+            step = 1 / ratio.max()
+            uses[tuple(sorted((int(lengths[i]) for i in config), reverse=True))] += step
+            weights[items] *= np.exp(-rate * step * ratio)
     covered = sum(sum(c) * x for c, x in uses.items())
     scale = float((lengths * need).sum()) / covered if covered else 0
     return [(c, x * scale) for c, x in uses.items()]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations and how many sequences of each; every piece is in one."""
+def configured(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """(configurations by programs and how many sequences of each, lengths left over)."""
     left = {x: n for x, n in histogram.items() if n > 0}
     out = [((capacity,), left.pop(capacity))] if capacity in left else []
+    for _ in range(PROGRAMS):
+        if sum(x * n for x, n in left.items()) <= capacity:
+            break
+        used = 0
+        cover = sorted(fractional(left, capacity, steps), key=lambda c: (capacity - sum(c[0]), -c[1], c[0]))
+        for rounded in (np.floor, np.ceil):
+            for config, x in cover:
+                # a poorly filled configuration would bind pieces that fit better elsewhere
+                if capacity - sum(config) > WASTE:
+                    continue
+                need = Counter(config)
+                if k := int(min(rounded(x), *(left.get(i, 0) // m for i, m in need.items()))):
+                    out.append((config, k))
+                    used += k
+                    for i, m in need.items():
+                        left[i] -= m * k
+                        if not left[i]:
+                            del left[i]
+        if not used:
+            break
+    return out, left
+
 
-    def use(config: tuple[int, ...], k: int) -> None:
-        out.append((config, k))
-        for x, m in Counter(config).items():
-            left[x] -= m * k
-            if not left[x]:
-                del left[x]
-
-    cover = sorted(fractional(left, capacity, steps), key=lambda c: (capacity - sum(c[0]), -c[1], c[0])) if left else []
-    for rounded in (np.floor, np.ceil):
-        for config, x in cover:
-            most = min(left.get(i, 0) // m for i, m in Counter(config).items())
-            # a poorly filled configuration would bind pieces that fit better elsewhere
-            if (k := int(min(rounded(x), most))) and sum(config) >= capacity * 0.995:
-                use(config, k)
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations and how many sequences of each; every piece is in one."""
+    out, left = configured(histogram, capacity, steps)
     # best fit, decreasing, on runs of equal bins
     bins: dict[int, Counter] = defaultdict(Counter)
     for x in sorted(left, reverse=True):
@@ -123,19 +147,20 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS
 
 
 def places(configs: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
-    """For runs of pieces (length, first number): sequence of the first, offset."""
-    key, sequence, offset, used, base = [], [], [], Counter(), 0
+    """An entry for each length of each configuration: its first piece's number, the
+    first of how many sequences, and the offset of the first of its repeats there."""
+    rows, used, base = [], Counter(), 0
     for config, k in configs:
         at = 0
-        for x in config:
-            key.append(x << 48 | used[x])
-            sequence.append(base)
-            offset.append(at)
-            used[x] += k
-            at += x
+        for x, repeats in Counter(config).items():
+            rows.append((x << 48 | used[x], base, k, at))
+            used[x] += k * repeats
+            at += x * repeats
         base += k
-    order = np.argsort(np.array(key, np.int64))
-    return {"key": np.array(key, np.int64)[order], "sequence": np.array(sequence, np.int64)[order], "offset": np.array(offset, np.int64)[order]}
+    if len(rows) > ENTRIES:
+        raise ValueError(f"a plan of {len(rows)} entries; {ENTRIES} at most go to the workers")
+    columns = np.array(sorted(rows), np.int64).reshape(-1, 4).T
+    return dict(zip(("key", "sequence", "many", "offset"), columns, strict=True))
 
 
 def _cut(name: str, capacity: int):
@@ -175,8 +200,8 @@ def _place(plan):
             length, number = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "number"))
             key = length << 48 | number
             at = np.searchsorted(p["key"], key, side="right") - 1
-            sequence = p["sequence"][at] + key - p["key"][at]
-            columns = [batch.column(k) for k in range(5)] + [pa.array(sequence), pa.array(p["offset"][at])]
+            repeat, place = np.divmod(key - p["key"][at], p["many"][at])
+            columns = [batch.column(k) for k in range(5)] + [pa.array(p["sequence"][at] + place), pa.array(p["offset"][at] + repeat * length)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     return run
@@ -194,7 +219,7 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", name: str = V
     counts = stored(pieces.groupBy("chunk", "length").agg(F.count(F.lit(1)).alias("__n")), "piece-counts")
     # at most `capacity` rows come to the driver
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
-    # bounded by the number of configurations, which the steps and the capacity bound
+    # an entry for each length of a configuration, ENTRIES at most
     where = spark.sparkContext.broadcast(places(plan(histogram, capacity, steps)))
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("chunk", "length", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
