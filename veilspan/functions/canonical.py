@@ -13,15 +13,15 @@ _DIGITS = {"PESEL": (11,), "NIP": (10,), "REGON": (9, 14), "KRS": (10,), "CARD":
 
 
 def nfkc() -> Callable[[Column], Column]:
-    """Compatibility normalisation. Spark has none, and ASCII needs none, so only
-    other texts go to Python, in Arrow batches."""
+    """Compatibility normalisation of an array of texts, in Arrow batches. Spark has
+    none, and ASCII needs none: give null where nothing is to be done."""
 
     def run(column):
         import unicodedata
 
-        return column.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+        return column.map(lambda texts: None if texts is None else [None if t is None else unicodedata.normalize("NFKC", t) for t in texts])
 
-    return F.pandas_udf(run, "string")
+    return F.pandas_udf(run, "array<string>")
 
 
 def strip(text: Column) -> Column:

@@ -34,7 +34,7 @@ ENTITY_LABELS = {
 }
 
 LABELS = tuple(sorted(set(ENTITY_LABELS.values())))
-#: Labels whose values have a structure of their own.
+# Labels whose values have a structure of their own.
 STRUCTURED = ("PESEL", "NIP", "REGON", "DOWOD", "IBAN", "CARD", "EMAIL", "PHONE", "PASSPORT", "PLATE", "KRS", "POSTAL")
 
 

@@ -15,13 +15,11 @@ NORMALISED = "__veilspan_normal"
 
 
 def _with_normal_values(df: DataFrame, spans: str) -> DataFrame:
-    """df with the NFKC of each span's text; only rows with a non-ASCII value pass
-    through Python."""
+    """df with the NFKC of each span's text. Every batch of rows passes through Python,
+    but rows whose values are ASCII send a null there."""
     texts = F.transform(F.col(spans), lambda s: s["text"])
     odd = F.exists(texts, lambda t: t.rlike(r"[^\x00-\x7F]"))
-    joined = F.array_join(texts, "\u0001")
-    normal = F.split(nfkc()(F.when(odd, joined)), "\u0001", -1)
-    return df.withColumn(NORMALISED, F.when(odd, normal).otherwise(texts))
+    return df.withColumn(NORMALISED, F.when(odd, nfkc()(F.when(odd, texts))).otherwise(texts))
 
 
 def linkable(

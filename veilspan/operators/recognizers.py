@@ -117,7 +117,7 @@ IBAN_ANY = Recogniser(
     "iban", "IBAN_CODE", ((r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", 0.5),), ("iban", "konto", "rachunek", "account", "bank"), ck.is_iban, possible=_rlike("[A-Z]{2}[0-9]{2}|(?U:[\\d&&[^0-9]])")
 )
 PASSPORT = Recogniser("passport", "PL_PASSPORT", ((r"\b[A-Z]{2}\d{7}\b", 0.4),), ("paszport", "passport", "seria"), possible=_digits(7))
-CARD = Recogniser("card", "CREDIT_CARD", ((r"(?<!\d)(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![ -]?\d)", 0.85),), ("karta", "card", "credit", "płatnicza"), ck.is_luhn, possible=_some_digit)
+CARD = Recogniser("card", "CREDIT_CARD", ((r"(?<!\d)(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![ -]?\d)", 0.85),), ("karta", "card", "credit", "płatnicza"), ck.is_luhn, possible=_rlike(r"[0-9](?:[ -]?[0-9]){12}|(?U:[\d&&[^0-9]])"))
 EMAILS = Recogniser("email", "EMAIL_ADDRESS", ((EMAIL, 0.6),), ("email", "e-mail", "mail", "kontakt"), possible=lambda t: F.contains(t, F.lit("@")))
 DOWOD = Recogniser("dowod", "PL_ID_CARD", ((r"\b[A-Z]{3} ?\d{6}\b", 0.5),), ("dowód", "dowod", "osobisty", "seria", "tożsamości"), ck.is_dowod, possible=_digits(6))
 PHONE = Recogniser("phone", "PHONE_NUMBER", _PHONES, _PHONE_CONTEXT, possible=_some_digit)

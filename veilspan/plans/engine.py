@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from veilspan.functions.crypto import KeyStore, KeystoreError
 from veilspan.model import LABELS, LANGUAGES, labels_allowed
 from veilspan.operators import transforms as tf
-from veilspan.operators.detection import Ner, detect
+from veilspan.operators.detection import Ner, detect, spans_of
 from veilspan.operators.pseudonyms import linkable
 from veilspan.operators.recognizers import Recogniser, registry
 from veilspan.operators.transforms import Profile, resolve_profile
@@ -37,10 +37,13 @@ class Engine:
             "pseudonym": self.store.health() if self.store else {"enabled": False},
         }
 
-    def _options(self, labels: Sequence[str] | None, threshold: Column | float | None) -> dict:
+    def _options(self, labels: Sequence[str] | None, threshold: Column | float | None, language: str | None = None) -> dict:
+        if language is not None and language not in LANGUAGES:
+            raise ValueError(f"unknown language: {language!r}")
         if isinstance(threshold, (int, float)) and not 0 <= threshold <= 1:
             raise ValueError("the threshold is between 0 and 1")
-        return {"settings": self.settings, "labels": labels, "threshold": threshold, "recognisers": self.recognisers, "ner": self.ner}
+        chosen = tuple(r for r in self.recognisers if language is None or language in r.languages)
+        return {"settings": self.settings, "labels": labels, "threshold": threshold, "recognisers": chosen, "ner": self.ner}
 
     def purpose(self, purpose: str | None) -> str:
         name = (purpose or "").strip() or self.settings.default_purpose
@@ -50,9 +53,20 @@ class Engine:
             raise ValueError(f"purpose not allowed: {name!r}")
         return name
 
-    def analyze(self, df: DataFrame, text: str = "text", labels: Sequence[str] | None = None, threshold: Column | float | None = None, output: str = "spans") -> DataFrame:
-        """df with the spans of each text."""
-        return detect(df, text, output, **self._options(labels, threshold))
+    def analyze(self, df: DataFrame, text: str = "text", labels: Sequence[str] | None = None, threshold: Column | float | None = None, output: str = "spans", language: str | Column | None = None) -> DataFrame:
+        """df with the spans of each text. The language is one for all rows, or a
+        column of tags: other tags than those of a known language count as Polish."""
+        if not isinstance(language, Column):
+            return detect(df, text, output, **self._options(labels, threshold, language))
+        by = {x: self._options(labels, threshold, x) for x in LANGUAGES}
+        first = by[LANGUAGES[0]]
+        if all(o["recognisers"] == first["recognisers"] for o in by.values()):
+            return detect(df, text, output, **first)  # no row's language changes anything
+        tag = tf.coerced_language(language)
+        found = F.when(tag == LANGUAGES[0], spans_of(F.col(text), **first))
+        for x in LANGUAGES[1:]:
+            found = found.when(tag == x, spans_of(F.col(text), **by[x]))
+        return df.withColumn(output, found)
 
     def analyze_entities(self, df: DataFrame, text: str = "text", entities: list[str] | None = None, threshold: Column | float | None = None, output: str = "results") -> DataFrame:
         """df with entity_type, start, end, score for each span. `entities` allows

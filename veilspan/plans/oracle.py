@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from veilspan.functions.crypto import pads
 from veilspan.operators.recognizers import EMAIL
-from veilspan.plans.queries import _CHECKS, _RAW, _SENTENCES, IDENTIFIERS, NOW, PUBLIC, STORE
+from veilspan.plans.queries import _CHECKS, _RAW, _SENTENCES, FOREIGN_IBAN, IDENTIFIERS, NOW, PUBLIC, STORE
 from veilspan.sources.synthetic import corpus_sql, identifiers_sql
 
 _IDS = "(SELECT o_orderkey AS id FROM orders)"
@@ -146,6 +146,20 @@ SELECT label, metric, value, floor FROM valued WHERE CASE WHEN metric = 'invalid
     "linkable_corpus": f"""SELECT doc_id, start, "end", label, CASE label WHEN 'DOB' THEN '<DOB>' WHEN 'EMAIL' THEN {_token("'EMAIL'", _CANONICAL_EMAIL.format("text"), "logs")} ELSE {_token("'PESEL'", "text", "logs")} END AS token FROM {_GOLD} WHERE label IN ('PESEL', 'EMAIL', 'DOB')""",
     "thresholds": f"SELECT doc_id, n::INTEGER AS low, n::INTEGER AS usual, n::INTEGER AS high FROM (SELECT doc_id, len(list_filter(entities, lambda e: e.label = 'DOWOD')) AS n FROM {_CORPUS})",
     **{f"gate_{n}": _gate(n) for n in _SENTENCES},
+    "redact_all": f"SELECT doc_id, len(regexp_extract_all(text, '{EMAIL}'))::INTEGER AS n_spans, regexp_replace(text, '{EMAIL}', '<EMAIL>', 'g') AS redacted_text FROM documents",
+    "phone_thresholds": f"SELECT id, 1 AS low, CASE WHEN id % 4 = 1 THEN 0 ELSE 1 END AS usual, CASE WHEN id % 4 IN (0, 3) THEN 1 ELSE 0 END AS high FROM {_MADE}",
+    "detect_address": f"SELECT doc_id, start, \"end\", text FROM {_GOLD} WHERE label = 'ADDRESS' AND regexp_matches(text, '^(ul[.]|ulica|al[.]|os[.]) ')",
+    "iban_foreign": f"""SELECT id, 8 AS start, 30 AS "end", 'IBAN' AS label, {FOREIGN_IBAN.replace("@TEXT", "VARCHAR")} AS text, 1.0::DOUBLE AS score FROM {_MADE} WHERE id % 2 = 0""",
+    "apply_invalid": f"SELECT id, '<PERSON> ' || id || ' ends' AS anonymized_text, 1 AS n_items FROM {_IDS}",
+    "pseudonym_vectors": """SELECT * FROM (VALUES (0::BIGINT, 'PESEL PESEL_v1_fzzu_5G20GpoNQQlp3ZH'), (1, 'PESEL PESEL_v1_XGPvBJJN6-rUTG3zQo_z'), (2, 'PESEL PESEL_v2_eTfHpnQFeCrpGZzI6eeL'),
+ (3, 'PESEL PESEL_v1_BZPnD34ncx0LIUAiRqLo'), (4, 'NIP NIP_v1_ghXGz06HZxmAarmaoiL-'), (5, 'mail EMAIL_v1_Nq0EnCSRmSxCbQmH3IQX'), (6, 'tel. PHONE_v1_hcbj7kcotjZK9sD-tCE3'), (7, 'PESEL PESEL_v1_mblqjBAl6rbWcx1ArW32')) v(id, redacted_text)""",
+    "card_digits": f"""SELECT id, 6 AS start, 37 AS "end", rtrim(regexp_replace(card16, '(.)', '\\1 ', 'g')) AS text, 1.0::DOUBLE AS score FROM {_MADE}""",
+    "sql_letters": f"SELECT id, true AS a, false AS b, true AS c, false AS d, false AS e FROM {_IDS}",
+    "rate_limit": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+walk AS (SELECT user_id, event_id, n, true AS accepted, NULL::BIGINT AS older, t AS newer FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.n, w.older IS NULL OR e.t - w.older > 3600000000, CASE WHEN w.older IS NULL OR e.t - w.older > 3600000000 THEN w.newer ELSE w.older END,
+    CASE WHEN w.older IS NULL OR e.t - w.older > 3600000000 THEN e.t ELSE w.newer END FROM walk w JOIN e ON e.user_id IS NOT DISTINCT FROM w.user_id AND e.n = w.n + 1)
+SELECT event_id, user_id, accepted FROM walk""",
     "ner_gates": f"SELECT id, 16 AS start, 20 AS \"end\", 'PERSON' AS label, substr(person || ' ' || city, 1, 4) AS text, 'ner' AS source FROM {_MADE}",
     "overlaps": f"""WITH RECURSIVE spans AS (SELECT id, unnest([{_SPANS}]) AS s FROM {_IDS}),
 ordered AS (SELECT id, s, row_number() OVER (PARTITION BY id ORDER BY s.ner, s.score DESC, s.start - s.end, s.start, s.label) AS place FROM spans),

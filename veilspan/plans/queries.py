@@ -194,6 +194,12 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("id", "is_pesel(pesel) AS a", "is_pesel(bad_pesel) AS b", "is_nip(nip) AS c", "is_nip(bad_nip) AS d", "is_regon9(regon9) AS e", "is_regon14(regon14) AS f", "is_card(card) AS g")
 
 
+def sql_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL functions of identifiers with letters."""
+    register(spark)
+    return _identifiers(spark, sf_dir).selectExpr("id", "is_iban(lower(iban)) AS a", "is_iban(bad_iban) AS b", "is_dowod(dowod) AS c", "is_dowod(bad_dowod) AS d", "is_iban(postal) AS e")
+
+
 _RAW = {
     "PESEL": "concat(substr(pesel, 1, 4), ' ', substr(pesel, 5, 4), ' ', substr(pesel, 9, 3))",
     "NIP": "nip_dashed",
@@ -293,13 +299,19 @@ def linkable_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phone spans at three thresholds, the last a column."""
+    """Spans of a checksum, which have the full score, at three thresholds, the last a
+    column: none loses them. See phone_thresholds for scores that differ."""
     rows = _corpus(spark, sf_dir).select("doc_id", "text").withColumn("limit", F.lit(0.9))
     for name, limit in (("low", 0.0), ("usual", None), ("high", F.col("limit"))):
         rows = ENGINE.analyze(rows, labels=["DOWOD"], threshold=limit, output=name)
     return rows.select("doc_id", *(F.size(c).alias(c) for c in ("low", "usual", "high")))
 
 
+def detect_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Street addresses; towns need a model."""
+    return _found(spark, sf_dir, ("ADDRESS",)).select("doc_id", "start", "end", "text")
+
+
 # Gates, on sentences whose outcome is known.
 
 _SENTENCES: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -326,6 +338,62 @@ def _gate(name: str) -> Query:
     return query
 
 
+def phone_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of the phone sentences, whose scores differ, at three thresholds."""
+    cases = " ".join(f"WHEN {k} THEN {t}" for k, t in enumerate(_SENTENCES["phone"][1]))
+    rows = _identifiers(spark, sf_dir).selectExpr("id", f"CASE id % 4 {cases} END AS text", "0.6D AS least")
+    for name, limit in (("low", 0.0), ("usual", None), ("high", F.col("least"))):
+        rows = ENGINE.analyze(rows, labels=["PHONE"], threshold=limit, output=name)
+    return rows.select("id", *(F.size(c).alias(c) for c in ("low", "usual", "high")))
+
+
+#: An account number of another country, or one whose check digits are one too many.
+FOREIGN = "(((CAST(b_iban1 AS BIGINT) % 97) * 1000000000 + CAST(b_iban2 AS BIGINT)) % 97 * 1000000 + 131400) % 97"
+FOREIGN_IBAN = f"concat('DE', lpad(CAST(98 - {FOREIGN} + id % 2 AS @TEXT), 2, '0'), b_iban1, b_iban2)"
+
+
+def iban_foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _identifiers(spark, sf_dir).selectExpr("id", f"concat('account ', {FOREIGN_IBAN.replace('@TEXT', 'STRING')}, ' please') AS text")
+    found = detect(rows, settings=SETTINGS, labels=["IBAN"])
+    return found.select("id", F.explode_outer("spans").alias("s")).where("s is not null").select("id", "s.start", "s.end", "s.label", "s.text", "s.score")
+
+
+def apply_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Given spans that are empty, turned round, or outside the text, and one that is not."""
+    rows = _ids(spark, sf_dir).selectExpr("id", "concat('row ', id, ' ends') AS text")
+    spans = ((-1, 2), (2, 2), (3, 1), (0, 1000), (0, 3))
+    given = F.array(*(F.struct(F.lit("PERSON").alias("entity_type"), F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in spans))
+    out = ENGINE.apply_results(rows.withColumn("analyzer_results", given))
+    return out.select("id", F.col("anonymized.text").alias("anonymized_text"), F.size("anonymized.items").alias("n_items"))
+
+
+#: Sentences by the purpose, tenant and key that their tokens are made with.
+_VECTORS = {
+    ("eval", None, "v1"): ((0, "PESEL 44051401359"), (3, "PESEL 02211301378"), (4, "NIP 1234563218"), (5, "mail Jan@Example.PL"), (6, "tel. 601234567")),
+    ("logs", None, "v1"): ((1, "PESEL 44051401359"),),
+    ("eval", None, "v2"): ((2, "PESEL 44051401359"),),
+    ("llm-gateway", "acme", "v1"): ((7, "PESEL 44051401359"),),
+}
+
+
+def pseudonym_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of known values under keys derived from the published master keys."""
+    out = None
+    for (purpose, tenant, kid), sentences in _VECTORS.items():
+        rows = spark.sql("SELECT CAST(id AS BIGINT) AS id, text FROM VALUES " + ", ".join(f"({n}, '{t}')" for n, t in sentences) + " AS v(id, text)")
+        labels = ["PESEL", "NIP", "EMAIL", "PHONE"] if len(sentences) > 1 else ["PESEL"]
+        made = ENGINE.redact(rows, profile="linkable", purpose=purpose, tenant=tenant, key_id=kid, labels=labels).select("id", "redacted_text")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def card_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards written a digit at a time."""
+    rows = _identifiers(spark, sf_dir).selectExpr("id", "concat('karta ', rtrim(regexp_replace(card16, '(.)', '$1 ')), '.') AS text")
+    found = detect(rows, settings=SETTINGS, labels=["CARD"])
+    return found.select("id", F.explode_outer("spans").alias("s")).select("id", "s.start", "s.end", "s.text", "s.score")
+
+
 def ner_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stand-in for a model, which reports four spans, two of them of no use."""
     rows = _identifiers(spark, sf_dir).selectExpr("id", "person", "concat('KRS ', pesel, ' ', person, ' ', city) AS text")
@@ -405,6 +473,7 @@ QUERIES: dict[str, Query] = {
     **{f"check_{name}": _check(name) for name in _CHECKS},
     "identifiers": identifiers,
     "sql_functions": sql_functions,
+    "sql_letters": sql_letters,
     "canonical_forms": canonical_forms,
     "corpus": corpus,
     "gold": gold,
@@ -418,6 +487,12 @@ QUERIES: dict[str, Query] = {
     "gate_failures": gate_failures,
     "linkable_corpus": linkable_corpus,
     "thresholds": thresholds,
+    "phone_thresholds": phone_thresholds,
+    "detect_address": detect_address,
+    "iban_foreign": iban_foreign,
+    "apply_invalid": apply_invalid,
+    "pseudonym_vectors": pseudonym_vectors,
+    "card_digits": card_digits,
     **{f"gate_{name}": _gate(name) for name in _SENTENCES},
     "ner_gates": ner_gates,
     "overlaps": overlaps,

@@ -130,7 +130,7 @@ def _identifiers(d: Dialect) -> list[dict[str, str]]:
         "krs": f"CASE WHEN krs_check = {d.digit('b_krs', 10)} THEN {next_digit('b_krs', 10)} ELSE b_krs END",
         "bare10": f"CASE WHEN bare10_check = {d.digit('b_bare10', 10)} THEN {next_digit('b_bare10', 10)} ELSE b_bare10 END",
         "bare9": f"CASE WHEN bare9_check = {d.digit('b_bare9', 9)} THEN {next_digit('b_bare9', 9)} ELSE b_bare9 END",
-        "plate": f"concat({d.pick(_PLATES, d.some(25, len(_PLATES)))}, CASE WHEN {d.some(26, 10)} < 7 THEN ' ' ELSE '' END, {d.digits(27, 4)}, CASE WHEN {d.some(28, 2)} = 0 THEN {d.digits(29, 1)} ELSE {d.pick(_TAILS, d.some(30, len(_TAILS)))} END)",
+        "plate": f"concat({d.pick(_PLATES, d.some(25, len(_PLATES)))}, CASE WHEN {d.some(26, 10)} < 7 THEN ' ' ELSE '' END, {d.digits(27, 4)}, CASE {d.some(28, 3)} WHEN 0 THEN {d.digits(29, 1)} WHEN 1 THEN {d.pick(_TAILS, d.some(30, len(_TAILS)))} ELSE '' END)",
         "style": d.some(31, 6),
         "m1": d.digits(32, 3),
         "m2": d.digits(33, 3),
@@ -173,22 +173,23 @@ def _templates(d: Dialect) -> dict[str, list[tuple[str, str | None]]]:
         return "'" + text.replace("'", "''") + "'", None
 
     place = [("street", "ADDRESS"), t(", "), ("postal", "POSTAL"), t(" "), ("city", "ADDRESS")]
-    product = d.pick(("PN 12345", "EN 16001", "ISO 9001", "DIN 12345", "REF 99887"), d.some(54, 5))
-    span = d.pick(("10-100", "20-500", "01-250", "15-300"), d.some(55, 4))
-    date = d.pick(("01.02.1990", "15/03/2012", "2020-11-05"), d.some(56, 3))
-    english = d.pick(("Mary Stone", "Peter Hill", "Susan Field"), d.some(57, 3))
+    # near misses: shaped like a plate, a postal code, a date of birth
+    code = d.pick(("BX 40712", "GT 5502", "WK 90316", "LN 7781", "PO 60044"), d.some(54, 5))
+    amount = d.pick(("40-640", "25-775", "60-905", "75-310"), d.some(55, 4))
+    day = d.pick(("17.08.1996", "03-09-2007", "2018-04-23"), d.some(56, 3))
+    english = d.pick(("Nora Lind", "Owen Marsh", "Tess Quill"), d.some(57, 3))
     return {
-        "umowa": [t("Umowa nr "), ("number", None), t(" zawarta przez:\n"), ("person", "PERSON"), t(", PESEL "), ("pesel", "PESEL"), t(", dowód osobisty "), ("dowod", "DOWOD"), t(", ur. "), ("dob", "DOB"), t(", adres zamieszkania "), *place, t(", e-mail "), ("email", "EMAIL"), t(", tel. "), ("phone", "PHONE"), t(".\nStrony ustalają, co następuje.")],
-        "faktura": [t("Faktura nr "), ("number", None), t("\nSprzedawca: "), ("firm", "ORG"), t("\nNIP: "), ("nip_shown", "NIP"), t("  REGON: "), ("regon", "REGON"), t("\nAdres: "), *place, t("\nRachunek do zapłaty: "), ("iban", "IBAN"), t("\nKontakt: "), ("email", "EMAIL"), t("\nDo zapłaty: 120,50 PLN")],
-        "mixed": [t("Dane klienta: "), ("person", "PERSON"), t(" | PESEL "), ("pesel", "PESEL"), t(" | NIP "), ("nip", "NIP"), t(" | REGON "), ("regon9", "REGON"), t(" | IBAN "), ("iban", "IBAN"), t(" | "), ("email", "EMAIL"), t(" | tel "), ("phone", "PHONE"), t(" | "), ("street", "ADDRESS"), t(", "), ("postal", "POSTAL"), t(" "), ("city", None), t(" | rej. "), ("plate", "PLATE"), t(" | dowód "), ("dowod", "DOWOD"), t(" | karta "), ("card", "CARD")],
-        "crm": [t("Notatka o kliencie: "), ("person", "PERSON"), t(" z firmy "), ("firm", "ORG"), t(" (KRS "), ("krs", "KRS"), t("). tel. "), ("phone", "PHONE"), t(", mail "), ("email", "EMAIL"), t(". Karta płatnicza do sprawdzenia: "), ("card", "CARD"), t(".")],
-        "email": [t("Od: "), ("email", "EMAIL"), t("\nTemat: zmiana danych\n\nProszę o sprawdzenie danych: "), ("person", "PERSON"), t(" (PESEL "), ("pesel", "PESEL"), t("). Telefon: "), ("phone", "PHONE"), t(".\n\nZ poważaniem")],
-        "przelew": [t("Zlecenie przelewu\nOdbiorca: "), ("person", "PERSON"), t("\nRachunek: "), ("iban", "IBAN"), t("\nTytuł: opłata, NIP "), ("nip", "NIP"), t("\nKwota: 75.00 PLN")],
-        "paszport": [t("Wniosek o paszport.\nImię i nazwisko: "), ("person", "PERSON"), t("\nPESEL: "), ("pesel", "PESEL"), t("\nData urodzenia: ur. "), ("dob", "DOB"), t("\nDawny paszport: "), ("passport", "PASSPORT"), t("\nAdres: "), ("street", "ADDRESS")],
-        "pojazd": [t("Zgłoszenie szkody.\nWłaściciel: "), ("person", "PERSON"), t(", PESEL "), ("pesel", "PESEL"), t(". Tablica rejestracyjna "), ("plate", "PLATE"), t(". Adres do korespondencji: "), *place, t(".")],
-        "neg_checksum": [t("Odrzucono: PESEL "), ("bad_pesel", None), t(", NIP "), ("bad_nip", None), t(", IBAN "), ("bad_iban", None), t(", dowód "), ("bad_dowod", None), t(". Kontakt: "), ("email", "EMAIL"), t(".")],
-        "neg_noise": [t("Notatka "), ("number", None), t(": kod produktu "), (product, None), t(", zakres "), (span, None), t(" szt., identyfikator "), ("bare9", None), t(", wpis "), ("bare10", None), t(", spotkanie odbyło się "), (date, None), t(" w sali B. Bez danych osobowych.")],
-        "en_mixed": [t("Customer record: "), (english, "PERSON"), t(", email "), ("email", "EMAIL"), t(", card "), ("card", "CARD"), t(", Polish PESEL "), ("pesel", "PESEL"), t(".")],
+        "crm": [t("Rozmowa z: "), ("person", "PERSON"), t(". Reprezentuje spółkę "), ("firm", "ORG"), t(", wpisaną pod KRS "), ("krs", "KRS"), t(". Do rozliczeń podano kartę: karta "), ("card", "CARD"), t(", a odpowiedź ma trafić na "), ("email", "EMAIL"), t(" lub kom. "), ("phone", "PHONE"), t(".")],
+        "pojazd": [t("Kolizja na parkingu, pojazd "), ("plate", "PLATE"), t(" prowadzi "), ("person", "PERSON"), t(" (PESEL "), ("pesel", "PESEL"), t("); pieniądze wysłać pod "), *place, t(".")],
+        "en_mixed": [t("The PESEL we hold is "), ("pesel", "PESEL"), t("; please refund card "), ("card", "CARD"), t(" and tell "), (english, "PERSON"), t(" at "), ("email", "EMAIL"), t(".")],
+        "neg_noise": [t("Pozycja "), ("number", None), t(" w spisie: towar "), (code, None), t(", partia od "), (amount, None), t(" sztuk, symbol "), ("bare9", None), t(", indeks "), ("bare10", None), t("; przegląd wypadł "), (day, None), t(" i nic więcej nie zapisano.")],
+        "neg_checksum": [t("Zwrot do nadawcy ("), ("email", "EMAIL"), t("), bo nie zgadza się konto "), ("bad_iban", None), t(", dowód "), ("bad_dowod", None), t(", NIP "), ("bad_nip", None), t(" ani PESEL "), ("bad_pesel", None), t(".")],
+        "umowa": [t("Zleceniobiorcą jest "), ("person", "PERSON"), t("; ur. "), ("dob", "DOB"), t("; legitymuje się dowodem "), ("dowod", "DOWOD"), t("; PESEL "), ("pesel", "PESEL"), t(". Można pisać na "), ("email", "EMAIL"), t(" albo dzwonić, tel. "), ("phone", "PHONE"), t(".\nMieszka pod: "), *place, t(".\nSprawa "), ("number", None), t(".")],
+        "faktura": [t("Prosimy o wpłatę na konto "), ("iban", "IBAN"), t(" w ciągu tygodnia, pytania pod "), ("email", "EMAIL"), t("; sprawa "), ("number", None), t(" wystawiona przez "), ("firm", "ORG"), t(", REGON "), ("regon", "REGON"), t(", numer podatkowy NIP "), ("nip_shown", "NIP"), t(", biuro: "), *place, t(".")],
+        "przelew": [t("Na konto "), ("iban", "IBAN"), t(" wpłynęło 318,40 zł.\nNadał "), ("person", "PERSON"), t(", a w opisie stoi NIP "), ("nip", "NIP"), t(" i słowo składka.")],
+        "paszport": [t("Wyjazd za granicę: osoba urodzona "), ("dob", "DOB"), t(", paszport "), ("passport", "PASSPORT"), t(", PESEL "), ("pesel", "PESEL"), t(". Nazywa się "), ("person", "PERSON"), t(", mieszka przy "), ("street", "ADDRESS"), t(".")],
+        "email": [t("Dzień dobry, mój telefon to "), ("phone", "PHONE"), t(", a PESEL "), ("pesel", "PESEL"), t(".\nProszę odpisać na "), ("email", "EMAIL"), t(".\n\n"), ("person", "PERSON")],
+        "mixed": [t("Zestawienie; dowód "), ("dowod", "DOWOD"), t("; karta "), ("card", "CARD"), t("; auto "), ("plate", "PLATE"), t("; VAT "), ("nip", "NIP"), t("; REGON "), ("regon9", "REGON"), t("; rachunek "), ("iban", "IBAN"), t("; telefon "), ("phone", "PHONE"), t("; poczta "), ("email", "EMAIL"), t("; PESEL "), ("pesel", "PESEL"), t("; "), ("person", "PERSON"), t("; "), ("street", "ADDRESS"), t(", "), ("postal", "POSTAL"), t(" "), ("city", None)],
     }
 
 

@@ -12,11 +12,27 @@ from pyspark.sql import functions as F
 from veilspan.model import GATES, GOLD
 
 
+#: Bytes, as the optimizer knows them, up to which a table is dealt anew.
+SMALL = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over as many partitions as there are cores, if it has fewer: a small file
-    is one split, and detection is work for all of them. Large tables stay as they are."""
+    """df over as many partitions as there are cores, if it is small and has fewer: a
+    small file is one split, and detection is work for all of them. Larger tables stay
+    as they are read, so no corpus is shuffled for it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SMALL and df.rdd.getNumPartitions() < cores else df
+
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. A
+    folder of our own takes its place only where all run in one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (named or "file://" + tempfile.mkdtemp(prefix="veilspan-")).rstrip("/")
 
 
 _written: dict[tuple[str, str], str] = {}
@@ -29,8 +45,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     if (app, name) not in _written:
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="veilspan-")
-        path = f"{base.rstrip('/')}/veilspan-{uuid.uuid4().hex}"
+        path = f"{shared_base(spark)}/veilspan-{uuid.uuid4().hex}"
         df.write.parquet(path)
         _written[app, name] = path
     return spark.read.schema(df.schema).parquet(_written[app, name])
