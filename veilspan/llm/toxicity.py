@@ -31,17 +31,6 @@ EPOCHS = 5
 TRAIN = 12_000
 #: A score from here on predicts the label 1.
 THRESHOLD = 0.3
-#: Words whose places a process remembers at most.
-MEMO = 200_000
-
-_places: dict[bytes, bytes] = {}
-
-
-def _of_word(word: bytes) -> bytes:
-    """Places of a word and its stems."""
-    found = [zlib.crc32(word) * 0xFF51AFD7ED558CCD]
-    found += [zlib.crc32(word[:size]) * (0xD6E8FEB86659FD93 ^ size) for size in STEMS if len(word) > size]
-    return np.array([(x & 0xFFFFFFFFFFFFFFFF) >> (64 - BITS) for x in found], np.int64).tobytes()
 
 
 def features(text: str | None) -> np.ndarray:
@@ -54,13 +43,12 @@ def features(text: str | None) -> np.ndarray:
     h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
     pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
     skips = (h[:-2] * np.uint64(0x165667B19E3779F9)) ^ (h[2:] * np.uint64(0x27D4EB2F165667C5))
+    every = [h * np.uint64(0xFF51AFD7ED558CCD), pairs, skips]
     once = set(words)
-    if len(_places) > MEMO:
-        _places.clear()
-    for word in once.difference(_places):
-        _places[word] = _of_word(word)
-    own = np.frombuffer(b"".join(map(_places.__getitem__, once)), np.int64)
-    return np.concatenate([own, (np.concatenate([pairs, skips]) >> np.uint64(64 - BITS)).astype(np.int64)])
+    for size in STEMS:
+        stems = {w[:size] for w in once if len(w) > size}
+        every.append(np.fromiter(map(zlib.crc32, stems), np.uint64, len(stems)) * np.uint64(0xD6E8FEB86659FD93 ^ size))
+    return (np.concatenate(every) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
