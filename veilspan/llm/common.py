@@ -4,26 +4,21 @@ from __future__ import annotations
 
 import atexit
 import sys
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, and words between it, as the contracts define them.
-WORD = r"[^\x20\x09-\x0D]+"
+from veilspan.sources.tables import shared_base
 
 _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the one the cluster names in
-    spark.checkpoint.dir, or, where that is unset (tests), one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """A folder of ours in the one that driver and executors share (see `shared_base`)."""
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
-        base = (named or "file://" + tempfile.mkdtemp(prefix="veilspan-")).rstrip("/")
-        _own_dirs[app] = f"{base}/veilspan-{uuid.uuid4().hex}"
+        _own_dirs[app] = f"{shared_base(spark)}/veilspan-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _own_dirs[app])
     return _own_dirs[app]
 

@@ -61,13 +61,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """docs with __fp, the fingerprint as a signed long."""
 
     def run(column):
         import pandas as pd
 
-        return pd.Series(np.array([fingerprint(t) for t in column], "u8").view("i8"))
+        return pd.Series(np.array([fingerprint(t, shingle) for t in column], "u8").view("i8"))
 
     return docs.withColumn("__fp", F.pandas_udf(run, "long")(F.col(text)))
 
@@ -188,7 +188,7 @@ def forest(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> D
     return tiled.select(shard, "fp").repartition("shard").sortWithinPartitions("shard").mapInArrow(_forests(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One row for each row of docs: doc_id, fp, text_hash, component_id, root.
 
     A null text has no words, fingerprint 0, and is linked like any other.
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
     root is a fingerprint of the component. Other columns are not read.
     """
     own = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("__text"))
-    fps = stored(fingerprints(own, "__text").select("doc_id", F.col("__fp").alias("fp"), F.xxhash64("__text").alias("text_hash")), "fingerprints")
+    fps = stored(fingerprints(own, "__text", shingle).select("doc_id", F.col("__fp").alias("fp"), F.xxhash64("__text").alias("text_hash")), "fingerprints")
     firsts = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = stored(components(forest(firsts.select("fp"), radius)), "fp-roots")
     groups = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
