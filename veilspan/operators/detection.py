@@ -130,7 +130,8 @@ def resolved(spans: Column) -> Column:
         return F.when(overlaps, kept).otherwise(F.concat(kept, F.array(s)))
 
     none = F.array().cast(SPANS)
-    return F.when(F.size(spans) > 0, F.array_sort(F.aggregate(ordered.cast(SPANS), none, take))).otherwise(none)
+    # spans is named once, as all that makes them would be evaluated again
+    return F.coalesce(F.array_sort(F.aggregate(ordered.cast(SPANS), none, take)), none)
 
 
 def spans_of(
