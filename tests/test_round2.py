@@ -126,3 +126,16 @@ def test_values_with_control_characters_keep_their_tokens(spark):
     df = spark.createDataFrame([("a\u0001ż óbc",), ("x\u0001y óbc",)], "text string")
     a, b = (r["pseudonyms"] for r in engine.redact(df, profile="linkable").collect())
     assert a[1]["text"] == b[1]["text"] != a[0]["text"] != b[0]["text"]
+
+
+def test_sessions_of_documents(spark):
+    import os
+
+    from veilspan.plans.queries import QUERIES
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("the test tables are not here")
+    rows = QUERIES["vault_put"](spark, "/root/testdata/sf0.01").collect()
+    want = sum(r["n_tokens"] > 0 for r in QUERIES["anonymize"](spark, "/root/testdata/sf0.01").collect())
+    assert len(rows) == want > 0 and len({r["session_id"] for r in rows}) == want
+    assert all(len(r["session_id"]) == 32 and str(r["expires_at"]) == "2024-01-15 00:15:00" for r in rows)

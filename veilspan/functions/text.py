@@ -26,22 +26,25 @@ def matches(text: Column, pattern: str) -> Column:
     What is between the matches gives their places, so no code runs in Python.
     """
     p = literal(pattern)
-    found = F.regexp_extract_all(text, p, F.lit(0))
-    # splitting at a single character needs no expression; splitting at the pattern
-    # would compile it anew for every row
-    marked = F.split(F.regexp_replace(text, p, F.lit(MARK)), MARK, -1)
-    between = F.when(F.contains(text, F.lit(MARK)), F.split(text, "(?U)" + pattern, -1)).otherwise(marked)
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("hit"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,`end`:int,text:string>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("text"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def placed(found: Column) -> Column:
+        # splitting at a single character needs no expression; splitting at the pattern
+        # would compile it anew for every row
+        marked = F.split(F.regexp_replace(text, p, F.lit(MARK)), MARK, -1)
+        between = F.when(F.contains(text, F.lit(MARK)), F.split(text, "(?U)" + pattern, -1)).otherwise(marked)
+        pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("hit"))
+        empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,`end`:int,text:string>>").alias("out"))
 
-    walked = F.aggregate(pairs, empty, step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, walked).otherwise(F.array().cast("array<struct<start:int,`end`:int,text:string>>"))
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + F.length(x["gap"])
+            end = start + F.length(x["hit"])
+            one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("text"))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+        walked = F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+        return F.when(F.size(found) > 0, walked).otherwise(F.array().cast("array<struct<start:int,`end`:int,text:string>>"))
+
+    return let(F.regexp_extract_all(text, p, F.lit(0)), placed)
 
 
 def before(text: Column, start: Column, size: int) -> Column:
@@ -54,7 +57,7 @@ def after(text: Column, end: Column, size: int) -> Column:
 
 
 def last_words(text: Column, n: int) -> Column:
-    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    words = F.regexp_extract_all(text, literal(r"\S+"), F.lit(0))
     return F.array_join(F.reverse(F.slice(F.reverse(words), 1, n)), " ")
 
 

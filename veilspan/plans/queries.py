@@ -429,6 +429,14 @@ def vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ENGINE.restore(asked, vault=stored, now=F.col("now")).select("event_id", "restored_text")
 
 
+def vault_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the vault keeps of the documents' sessions. Their ids are random, so no SQL
+    gives the same rows."""
+    found = tables.with_session(ENGINE.anonymize(_documents(spark, sf_dir), labels=["EMAIL"]))
+    rows = tables.vault_rows(found, F.lit(NOW).cast("timestamp"))
+    return rows.select("session_id", F.size("mapping").alias("n_tokens"), "expires_at")
+
+
 def redact_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ENGINE.redact_form(_documents(spark, sf_dir), mode="no such mode", most=0)
     return out.select("doc_id", "message", "redacted_text")
@@ -497,5 +505,6 @@ QUERIES: dict[str, Query] = {
     "ner_gates": ner_gates,
     "overlaps": overlaps,
     "vault": vault,
+    "vault_put": vault_put,
     "rate_limit": rate_limit,
 }
