@@ -139,3 +139,15 @@ def test_sessions_of_documents(spark):
     want = sum(r["n_tokens"] > 0 for r in QUERIES["anonymize"](spark, "/root/testdata/sf0.01").collect())
     assert len(rows) == want > 0 and len({r["session_id"] for r in rows}) == want
     assert all(len(r["session_id"]) == 32 and str(r["expires_at"]) == "2024-01-15 00:15:00" for r in rows)
+
+
+def test_log_and_health(spark, tmp_path):
+    engine = Engine(SETTINGS)
+    found = engine.analyze(spark.createDataFrame([(1, "mail jan@example.pl"), (2, "nic")], "id int, text string"))
+    tables.write_log(tables.log_lines(found, "analyze", "spans", "id"), str(tmp_path / "log"))
+    lines = sorted(r[0] for r in spark.read.text(str(tmp_path / "log")).collect())
+    assert [json.loads(x) for x in lines] == [{"event": "analyze", "id": 1, "n_spans": 1, "by_label": {"EMAIL": 1}}, {"event": "analyze", "id": 2, "n_spans": 0, "by_label": {}}]
+    assert engine.info()["vault"] == "disabled"
+    assert engine.info(spark, str(tmp_path / "none"))["vault"] == "unreachable"
+    tables.vault_rows(tables.with_session(engine.anonymize(found.drop("spans"))), F.current_timestamp()).write.parquet(str(tmp_path / "vault"))
+    assert engine.info(spark, str(tmp_path / "vault"))["vault"] == "connected"

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.functions.crypto import KeyStore, KeystoreError
@@ -29,8 +30,17 @@ class Engine:
         self.recognisers = tuple(recognisers) if recognisers is not None else registry(self.settings)
         self.ner = ner
 
-    def info(self) -> dict:
+    def info(self, spark: SparkSession | None = None, vault: str | None = None) -> dict:
+        """What the engine has. With the path of a vault: whether it can be read."""
+        status = "disabled"
+        if spark is not None and vault:
+            try:
+                found = set(spark.read.parquet(vault).columns)
+                status = "connected" if {"session_id", "mapping", "expires_at"} <= found else "unreachable"
+            except AnalysisException:
+                status = "unreachable"
         return {
+            "vault": status,
             "languages": list(LANGUAGES),
             "recognizers": sorted({r.name for r in self.recognisers} | ({"ner"} if self.ner else set())),
             "labels": list(LABELS),

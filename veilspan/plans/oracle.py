@@ -117,6 +117,7 @@ SELECT doc_id, start, start + length(t)::INTEGER AS "end", 'EMAIL' AS label, CAS
     "entities_allow_nothing": "SELECT doc_id, 0 AS n_results FROM documents",
     "summaries": f"WITH {_DOCS} SELECT doc_id, CASE WHEN len(h) > 0 THEN 'EMAIL×' || len(h) ELSE '' END AS summary FROM hits",
     "audit": f"WITH {_DOCS} SELECT doc_id, len(h)::INTEGER AS n_spans, len(h)::INTEGER AS n_email FROM hits",
+    "audit_log": f"""WITH {_DOCS} SELECT '{{"event":"analyze","doc_id":' || doc_id || ',"n_spans":' || len(h) || ',"by_label":{{' || CASE WHEN len(h) > 0 THEN '"EMAIL":' || len(h) ELSE '' END || '}}}}' AS value FROM hits""",
     "size_guard": "SELECT doc_id, length(text) <= 5000 AS accepted, CASE WHEN length(text) > 5000 THEN 'text exceeds 5000 characters' END AS reason FROM documents",
     "response_json": f"WITH {_DOCS} SELECT doc_id, '{{\"doc_id\":' || doc_id || CASE WHEN len(h) > 0 THEN ',\"email\":\"' || h[1] || '\"' ELSE '' END || '}}' AS response FROM hits",
     "languages": "SELECT doc_id, CASE WHEN doc_id % 3 < 2 AND lang IN ('pl', 'en') THEN lang ELSE 'pl' END AS language FROM documents",

@@ -131,6 +131,10 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_spans", F.coalesce(F.col("by_label")["EMAIL"], F.lit(0)).alias("n_email"))
 
 
+def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.log_lines(_emails(spark, sf_dir), "analyze", "spans", "doc_id")
+
+
 def size_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     short, long = tables.within_size(_documents(spark, sf_dir), most=5000)
     return short.select("doc_id", F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason")).unionByName(long.select("doc_id", F.lit(False).alias("accepted"), "reason"))
@@ -471,6 +475,7 @@ QUERIES: dict[str, Query] = {
     "entities_allow_nothing": entities_allow_nothing,
     "summaries": summaries,
     "audit": audit,
+    "audit_log": audit_log,
     "size_guard": size_guard,
     "redact_form": redact_form,
     "redact_form_texts": redact_form_texts,

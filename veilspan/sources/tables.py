@@ -127,3 +127,14 @@ def audit(df: DataFrame, spans: str = "spans", *columns: str) -> DataFrame:
     from veilspan.operators.transforms import counts_by_label
 
     return df.select(*columns, F.size(spans).alias("n_spans"), counts_by_label(F.col(spans)).alias("by_label"))
+
+
+def log_lines(df: DataFrame, event: str, spans: str = "spans", *columns: str) -> DataFrame:
+    """`value`: a JSON object a row with the event's name, the columns and the counts by
+    label. Columns are ids and the like; nothing of the text is logged."""
+    counts = audit(df, spans, *columns)
+    return counts.select(F.to_json(F.struct(F.lit(event).alias("event"), *columns, "n_spans", "by_label")).alias("value"))
+
+
+def write_log(lines: DataFrame, path: str) -> None:
+    lines.write.mode("append").text(path)
