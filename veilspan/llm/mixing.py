@@ -171,14 +171,17 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share_percent: int =
     taken = F.when(size > 0, F.least(F.greatest(fits, F.lit(0)), F.col("m"))).when(F.col("sum") <= F.col("need"), F.col("m")).otherwise(0)
     ends = groups.withColumn("n", taken).where("n > 0").groupBy("source").agg(F.max(F.struct("__key", "n", "m")).alias("__z"))
     goal = stored(goal.join(ends.withColumnRenamed("source", "__src"), _same("source", "__src"), "left").drop("__src"), "mix-goal")
-    rows = ranked(d, goal).withColumn("__key", key)
-    cut = F.col("__z.__key")
+    rows = ranked(d, goal)
+    # sizes are looked at in the one bucket alone: they may be dear to count
+    at_edge = rows.where(F.col("__b") == F.col("__edge")).withColumn("__key", key)
     below = F.col("__t").isNotNull() & (F.col("__need") > 0) & (F.col("__b") < F.coalesce(F.col("__edge"), F.lit(BUCKETS)))
-    at_edge = F.coalesce((F.col("__b") == F.col("__edge")) & (F.col("__key") <= cut), F.lit(False))
-    split = F.coalesce((F.col("__key") == cut) & (F.col("__z.n") < F.col("__z.m")), F.lit(False))
-    marked = rows.withColumn("__in", F.coalesce(below, F.lit(False)) | at_edge)
+    elsewhere = rows.where(~F.coalesce(F.col("__b") == F.col("__edge"), F.lit(False))).withColumn("__in", F.coalesce(below, F.lit(False)))
+    cut = F.col("__z.__key")
+    whole = at_edge.withColumn("__in", F.coalesce(F.col("__key") <= cut, F.lit(False)))
     if not goal.where("__z.n < __z.m").isEmpty():
-        marked = marked.where(~split).unionByName(_first(rows.where(split)))
+        split = F.coalesce((F.col("__key") == cut) & (F.col("__z.n") < F.col("__z.m")), F.lit(False))
+        whole = whole.where(~split).unionByName(_first(at_edge.where(split)))
+    marked = elsewhere.unionByName(whole.drop("__key"))
     return marked.select("doc_id", "source", "size", *carried, "source_size", "target", (F.col("__copies") + F.col("__in").cast("long")).alias("copies"))
 
 
