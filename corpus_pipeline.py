@@ -28,7 +28,7 @@ def reject_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """Documents whose language is told; without letters, or with a margin that is
     narrow for the learned languages' texts of that length, they go."""
     own = docs.where(F.pmod(crc_of_id(), F.lit(5)) != 0)
-    found = language.classifier(spark, language.train(own), language.bounds(own))
+    found = language.classifier(spark, *language.learn(own))
     named = docs.select(F.struct("*").alias("row"), found(F.col("text")).alias("found"))
     return named.where(language.accepted(F.col("found"))).select("row.*")
 

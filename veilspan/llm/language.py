@@ -1,7 +1,7 @@
 """Language ID by compression with per-language zstandard dictionaries.
 
-A language's raw-content dictionary is the commonest words of a bounded sample of
-its documents, the commonest last, where matches are cheapest. A text is lower-
+A language's raw-content dictionary is the commonest words of all its distinct
+texts, the commonest last, where matches are cheapest. A text is lower-
 cased, everything but letters becomes one space, and the whole of it is compressed
 in pieces with each dictionary. The language with the smallest sum is predicted.
 The margin to the next is the score; narrow margins are for a caller to reject.
@@ -11,6 +11,7 @@ dictionaries of other texts (`bounds`), for each length class.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
 from itertools import pairwise
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from veilspan.llm.common import crc_of_id, read, stored, worker_memo
 
-#: About so many documents of each language are read for its dictionary.
-SAMPLE = 1000
+#: Distinct texts of each language that are learned from, unless a caller wants fewer: all.
+SAMPLE = math.inf
 #: Bytes of a dictionary, and of the pieces that are compressed with it.
 DICTIONARY = 65_536
 PIECE = 1024
@@ -35,6 +36,10 @@ SPACES = 64
 #: the QUANTILE of its margins, of FEW margins at least.
 CLASSES = (1, 25, 50, 100, 200, 400, 1000)
 QUANTILE, SLACK, FEW = 0.05, 0.5, 20
+#: Margins are counted in steps of 1 / STEPS, so a class has no more values than that.
+STEPS = 100_000
+#: Counts that a task holds before it hands them on.
+HELD = 200_000
 UNKNOWN = "und"
 
 _REST = re.compile(r"[\W\d_]+")
@@ -45,19 +50,32 @@ def letters(text: str | None) -> bytes:
     return _REST.sub(" ", (text or "").lower()).strip().encode("utf-8", "replace")
 
 
-def dictionary(texts: list[str | None], size: int = DICTIONARY) -> bytes:
-    from collections import Counter
-
-    counts = Counter(w for t in texts for w in letters(t).split())
-    words, left = [], size
-    for word, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+def commonest(counts, size: int = DICTIONARY) -> list[tuple[bytes, int]]:
+    """Of (word, count) those that a dictionary holds, the commonest first, and the one
+    at which it is full: with that one, the commonest of parts give those of the whole."""
+    out, left = [], size
+    for word, n in sorted(counts, key=lambda x: (-x[1], x[0])):
+        out.append((word, n))
         left -= len(word) + 1
         if left < 0:
             break
-        words.append(word)
+    return out
+
+
+def content(counts, size: int = DICTIONARY) -> bytes:
+    """The dictionary of (word, count)."""
+    words = [w for w, _ in commonest(counts, size)]
+    if sum(len(w) + 1 for w in words) > size:
+        words.pop()
     return b" ".join(reversed(words)) + b" "
 
 
+def dictionary(texts: list[str | None], size: int = DICTIONARY) -> bytes:
+    from collections import Counter
+
+    return content(Counter(w for t in texts for w in letters(t).split()).items(), size)
+
+
 def compressor(content: bytes):
     import zstandard as z
 
@@ -99,78 +117,155 @@ def fragments(data: bytes) -> list[bytes]:
     return out
 
 
-def _learn(rows):
-    import pandas as pd
-
-    rows = rows.sort_values(["__order", "__text"])
-    return pd.DataFrame({"lang": [rows["__lang"].iloc[0]], "content": [dictionary(rows["__text"].tolist())]})
-
-
-def _sampled(docs: DataFrame, lang: str, text: str, sample: int) -> tuple[dict[str, int], DataFrame]:
-    """Rows of each language, and the rows that are learned from."""
+def _sampled(docs: DataFrame, lang: str, text: str, sample: float) -> tuple[dict[str, int], DataFrame]:
+    """Rows of each language, and the distinct texts that are learned from."""
     d = docs.select(F.col(lang).alias("__lang"), F.col(text).alias("__text")).where("__lang is not null and __text is not null")
     d = d.withColumn("__order", F.xxhash64("__text"))
-    share = F.pmod("__order", F.lit(1 << 40)).cast("double") / float(1 << 40)
-    # equal texts are one, as they are when they are learned from
-    each = d.groupBy("__lang", "__order").agg(F.count(F.lit(1)).alias("__n"))
-    rows = each.groupBy("__lang").agg(F.sum("__n").alias("__n"), F.count(F.lit(1)).alias("__m")).limit(LANGUAGES + 1).collect()  # one row a language
+    whole = sample == math.inf
+    if whole:
+        many = d.groupBy("__lang").agg(F.count(F.lit(1)).alias("__n"))
+    else:
+        # equal texts are one, as they are when they are learned from
+        each = d.groupBy("__lang", "__order").agg(F.count(F.lit(1)).alias("__n"))
+        many = each.groupBy("__lang").agg(F.sum("__n").alias("__n"), F.count(F.lit(1)).alias("__m"))
+    rows = many.limit(LANGUAGES + 1).collect()  # one row a language
     if not rows:
         return {}, d
     if len(rows) > LANGUAGES:
         raise ValueError(f"{len(rows)} languages, but {LANGUAGES} at most are learned")
+    if whole:
+        return {r["__lang"]: r["__n"] for r in rows}, d.distinct()
+    share = F.pmod("__order", F.lit(1 << 40)).cast("double") / float(1 << 40)
     counts = d.sparkSession.createDataFrame([(r["__lang"], r["__m"]) for r in rows], "__lang string, __m long")
     # a row a language, which the driver has just held: texts are not shuffled to meet it
     chosen = d.join(F.broadcast(counts), "__lang").where(share * F.col("__m") < sample).select("__lang", "__text", "__order").dropDuplicates(["__lang", "__order"])
     return {r["__lang"]: r["__n"] for r in rows}, chosen
 
 
-def _learn_half(rows):
-    return _learn(rows).assign(half=int(rows["__half"].iloc[0]))[["lang", "half", "content"]]
+def _word_counts(frames):
+    """Words of texts, counted by language and half."""
+    from collections import Counter
 
+    import pandas as pd
 
-def train(docs: DataFrame, lang: str = "lang", text: str = "text", sample: int = SAMPLE) -> list[tuple[str, bytes]]:
+    def told():
+        return pd.DataFrame([(*k, w, n) for k, c in counts.items() for w, n in c.items()], columns=["lang", "half", "word", "n"])
+
+    counts, held = {}, 0
+    for frame in frames:
+        for own, half, body in zip(frame["__lang"], frame["__half"], frame["__text"], strict=True):
+            c = counts.setdefault((own, half), Counter())
+            held -= len(c)
+            c.update(letters(body).split())
+            held += len(c)
+            if held >= HELD:
+                yield told()
+                counts, held = {}, 0
+    if counts:
+        yield told()
+
+
+def _commonest_of_part(frames):
+    """The commonest words of both halves (0, 1) and of the whole (2) in a partition."""
+    import pandas as pd
+
+    best = {}
+    for frame in frames:
+        for lang, word, a, b in zip(frame["lang"], frame["word"], frame["n0"], frame["n1"], strict=True):
+            for part, n in ((0, a), (1, b), (2, a + b)):
+                if n:
+                    own = best.setdefault((lang, part), [])
+                    own.append((bytes(word), n))
+                    if len(own) >= 2 * DICTIONARY:
+                        best[lang, part] = commonest(own)
+    yield pd.DataFrame([(*k, w, n) for k, c in best.items() for w, n in commonest(c)], columns=["lang", "part", "word", "n"])
+
+
+def _content_of(rows):
+    import pandas as pd
+
+    made = content(zip(map(bytes, rows["word"]), rows["n"], strict=True))
+    return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "part": [rows["part"].iloc[0]], "content": [made]})
+
+
+def _halved(chosen: DataFrame) -> DataFrame:
+    return chosen.select("__lang", "__text", F.pmod(F.shiftright("__order", 40), F.lit(2)).cast("int").alias("__half"))
+
+
+def _dictionaries(halved: DataFrame) -> tuple[dict[str, bytes], ...]:
+    """Dictionaries by language of the texts of each half, and of all."""
+    n = lambda k: F.sum(F.when(F.col("half") == k, F.col("n")).otherwise(0))
+    words = halved.mapInPandas(_word_counts, "lang string, half int, word binary, n long").groupBy("lang", "word").agg(n(0).alias("n0"), n(1).alias("n1"))
+    best = words.mapInPandas(_commonest_of_part, "lang string, part int, word binary, n long")
+    rows = best.groupBy("lang", "part").applyInPandas(_content_of, "lang string, part int, content binary").collect()
+    return tuple({r["lang"]: bytes(r["content"]) for r in rows if r["part"] == k} for k in range(3))
+
+
+def _ordered(found: dict[str, bytes], many: dict[str, int]) -> list[tuple[str, bytes]]:
+    # a language whose texts have no letters has a dictionary without words
+    return [(g, found.get(g, dictionary([]))) for g in sorted(many, key=lambda g: (-many[g], g))]
+
+
+def train(docs: DataFrame, lang: str = "lang", text: str = "text", sample: float = SAMPLE) -> list[tuple[str, bytes]]:
     """(language, dictionary content), the language with most documents first.
 
-    Rows with a null text or lang take no part. About `sample` documents of each
-    language are read, those whose hashes are least, so no language is a large
-    group however large its share of the rows.
+    Rows with a null text or lang take no part; equal texts of a language are one.
+    All others are learned from, unless `sample` says that about so many of each
+    language are enough, those whose hashes are least.
     """
     many, chosen = _sampled(docs, lang, text, sample)
-    if not many:
-        return []
-    learned = chosen.groupBy("__lang").applyInPandas(_learn, "lang string, content binary").collect()
-    return sorted(((r["lang"], bytes(r["content"])) for r in learned), key=lambda x: (-many[x[0]], x[0]))
+    return _ordered(_dictionaries(_halved(chosen))[2], many) if many else []
+
 
+def bounds(docs: DataFrame, lang: str = "lang", text: str = "text", sample: float = SAMPLE) -> dict[tuple[str, int], float]:
+    """(language, length class): the margin below which a text is not of it."""
+    return learn(docs, lang, text, sample)[1]
 
-def bounds(docs: DataFrame, lang: str = "lang", text: str = "text", sample: int = SAMPLE) -> dict[tuple[str, int], float]:
-    """(language, length class): the margin below which a text is not of it.
 
-    The sample that `train` learns from is halved. The texts of each half, whole
-    and in fragments, are classified with dictionaries of the other half, so no
+def learn(docs: DataFrame, lang: str = "lang", text: str = "text", sample: float = SAMPLE) -> tuple[list[tuple[str, bytes]], dict[tuple[str, int], float]]:
+    """What `train` and `bounds` give, with the distinct texts made once.
+
+    For the bounds the texts that are learned from are halved. Those of each half,
+    whole and in fragments, are classified with dictionaries of the other half, so no
     margin owes anything to a text's own words. Classes with few margins have none.
     """
     many, chosen = _sampled(docs, lang, text, sample)
     if not many:
-        return {}
-    chosen = stored(chosen.withColumn("__half", F.pmod(F.shiftright("__order", 40), F.lit(2))), "language-sample")
-    halves = chosen.groupBy("__lang", "__half").applyInPandas(_learn_half, "lang string, half long, content binary").collect()
-    models = [sorted((r["lang"], bytes(r["content"])) for r in halves if r["half"] != k) for k in (0, 1)]
-    held = docs.sparkSession.sparkContext.broadcast(models)
+        return [], {}
+    halved = stored(_halved(chosen), "language-texts")
+    *halves, whole = _dictionaries(halved)
+    # texts of a half meet the dictionaries of the other
+    held = docs.sparkSession.sparkContext.broadcast([sorted(halves[1 - k].items()) for k in (0, 1)])
 
     def measure(frames):
+        from collections import Counter
+
         import pandas as pd
 
-        ways = [[(g, compressor(content)) for g, content in model] for model in held.value]
+        def told():
+            return pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["lang", "class", "step", "n"])
+
+        ways = [[(g, compressor(body)) for g, body in model] for model in held.value]
+        known = [{g for g, _ in way} for way in ways]
+        counts = Counter()
         for frame in frames:
-            out = []
             for own, body, half in zip(frame["__lang"], frame["__text"], frame["__half"], strict=True):
-                if len(ways[half]) > 1 and own in {g for g, _ in ways[half]}:
-                    out += [(*classify(x, ways[half]), length_class(len(x))) for x in fragments(letters(body)) if x]
-            yield pd.DataFrame(out, columns=["lang", "margin", "class"])
-
-    rows = chosen.select("__lang", "__text", "__half").mapInPandas(measure, "lang string, margin double, class int")
-    found = rows.groupBy("lang", "class").agg(F.percentile("margin", F.lit(QUANTILE)).alias("low"), F.count(F.lit(1)).alias("n"))
-    return {(r["lang"], r["class"]): SLACK * r["low"] for r in found.where(F.col("n") >= FEW).collect()}
+                if len(ways[half]) < 2 or own not in known[half]:
+                    continue
+                for x in fragments(letters(body)):
+                    if x:
+                        name, margin = classify(x, ways[half])
+                        counts[name, length_class(len(x)), round(margin * STEPS)] += 1
+                if len(counts) >= HELD:
+                    yield told()
+                    counts.clear()
+        if counts:
+            yield told()
+
+    rows = halved.mapInPandas(measure, "lang string, class int, step int, n long")
+    low = F.percentile(F.col("step"), F.lit(QUANTILE), F.col("n")) / STEPS
+    found = rows.groupBy("lang", "class").agg(low.alias("low"), F.sum("n").alias("n"))
+    return _ordered(whole, many), {(r["lang"], r["class"]): SLACK * r["low"] for r in found.where(F.col("n") >= FEW).collect()}
 
 
 def least_margin(narrow: dict[tuple[str, int], float], lang: str, size: int) -> float:
@@ -223,7 +318,7 @@ def identify(docs: DataFrame, train_docs: DataFrame, text: str = "text", name: s
     that no dictionary tells apart go to the language with most documents.
     Without any labelled row all are `und`. An empty table stays empty.
     """
-    return docs.withColumn(name, classifier(docs.sparkSession, train(train_docs), bounds(train_docs))(F.col(text)))
+    return docs.withColumn(name, classifier(docs.sparkSession, *learn(train_docs))(F.col(text)))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
