@@ -165,20 +165,26 @@ def _word_counts(frames):
         yield told()
 
 
-def _commonest_of_part(frames):
-    """The commonest words of both halves (0, 1) and of the whole (2) in a partition."""
+def _kept(rows):
     import pandas as pd
 
     best = {}
-    for frame in frames:
-        for lang, word, a, b in zip(frame["lang"], frame["word"], frame["n0"], frame["n1"], strict=True):
-            for part, n in ((0, a), (1, b), (2, a + b)):
-                if n:
-                    own = best.setdefault((lang, part), [])
-                    own.append((bytes(word), n))
-                    if len(own) >= 2 * DICTIONARY:
-                        best[lang, part] = commonest(own)
-    yield pd.DataFrame([(*k, w, n) for k, c in best.items() for w, n in commonest(c)], columns=["lang", "part", "word", "n"])
+    for lang, part, word, n in rows:
+        own = best.setdefault((lang, part), [])
+        own.append((bytes(word), n))
+        if len(own) >= 2 * DICTIONARY:
+            best[lang, part] = commonest(own)
+    return pd.DataFrame([(*k, w, n) for k, c in best.items() for w, n in commonest(c)], columns=["lang", "part", "word", "n"])
+
+
+def _commonest_of_part(frames):
+    """The commonest words of both halves (0, 1) and of the whole (2) in a partition."""
+    rows = (r for f in frames for r in zip(f["lang"], f["word"], f["n0"], f["n1"], strict=True))
+    yield _kept((lang, part, word, n) for lang, word, a, b in rows for part, n in ((0, a), (1, b), (2, a + b)) if n)
+
+
+def _commonest_again(frames):
+    yield _kept(r for f in frames for r in zip(f["lang"], f["part"], f["word"], f["n"], strict=True))
 
 
 def _content_of(rows):
@@ -192,11 +198,18 @@ def _halved(chosen: DataFrame) -> DataFrame:
     return chosen.select("__lang", "__text", F.pmod(F.shiftright("__order", 40), F.lit(2)).cast("int").alias("__half"))
 
 
-def _dictionaries(halved: DataFrame) -> tuple[dict[str, bytes], ...]:
-    """Dictionaries by language of the texts of each half, and of all."""
+def _dictionaries(halved: DataFrame, only_whole: bool = False) -> tuple[dict[str, bytes], ...]:
+    """Dictionaries by language of the texts of each half, if asked for, and of all."""
     n = lambda k: F.sum(F.when(F.col("half") == k, F.col("n")).otherwise(0))
     words = halved.mapInPandas(_word_counts, "lang string, half int, word binary, n long").groupBy("lang", "word").agg(n(0).alias("n0"), n(1).alias("n1"))
-    best = words.mapInPandas(_commonest_of_part, "lang string, part int, word binary, n long")
+    kind = "lang string, part int, word binary, n long"
+    if only_whole:
+        best = words.select("lang", F.lit(2).alias("part"), "word", (F.col("n0") + F.col("n1")).alias("n")).mapInPandas(_commonest_again, kind)
+    else:
+        best = words.mapInPandas(_commonest_of_part, kind)
+    # again in fewer parts, so that what meets for a language grows with the root of the parts
+    parts = math.isqrt(int(halved.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
+    best = best.repartition(parts).mapInPandas(_commonest_again, kind)
     rows = best.groupBy("lang", "part").applyInPandas(_content_of, "lang string, part int, content binary").collect()
     return tuple({r["lang"]: bytes(r["content"]) for r in rows if r["part"] == k} for k in range(3))
 
@@ -214,7 +227,7 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", sample: float
     language are enough, those whose hashes are least.
     """
     many, chosen = _sampled(docs, lang, text, sample)
-    return _ordered(_dictionaries(_halved(chosen))[2], many) if many else []
+    return _ordered(_dictionaries(_halved(chosen), only_whole=True)[2], many) if many else []
 
 
 def bounds(docs: DataFrame, lang: str = "lang", text: str = "text", sample: float = SAMPLE) -> dict[tuple[str, int], float]:
